@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm.common import table
+from chronoweave.llm.common import UPPER, table
 
 
 def bpe_path() -> str:
@@ -21,6 +21,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweave.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweave.llm.tokens import token_counts
 
@@ -38,4 +44,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_exact_dedup": f"""
+            SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+                   doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+            FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS norm FROM documents)
+            WINDOW w AS (PARTITION BY norm)""",
+    }
