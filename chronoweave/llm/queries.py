@@ -21,6 +21,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweave.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweave.llm.exact_dedup import exact_duplicates
 
