@@ -163,8 +163,9 @@ def confirm(frames):
         texts, hubs = frame["text"].tolist(), frame["hub_text"].tolist()
         known: dict[str, np.ndarray] = {}
         for a, b in slices(np.fromiter((len(x) + len(y) for x, y in zip(texts, hubs)), np.int64, len(texts)), 1 << 21):
-            new = list({x for x in texts[a:b] + hubs[a:b] if x not in known})
-            known = {x: known[x] for x in set(hubs[a:b]) if x in known} | dict(zip(new, shingle_sets([x.encode() for x in new])))
+            need = set(texts[a:b] + hubs[a:b])
+            new = sorted(need - known.keys())
+            known = {x: known[x] for x in need if x in known} | dict(zip(new, shingle_sets([x.encode() for x in new])))
             out = []
             for x, y in zip(texts[a:b], hubs[a:b]):
                 s, t = known[x], known[y]
