@@ -45,6 +45,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweave.llm.telephony import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweave.llm.near_dup import near_duplicates
 
