@@ -54,7 +54,7 @@ def run_state(rows_path: str, rows: DataFrame, batch_bytes: int) -> DataFrame:
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None, batch_bytes: int = 1 << 33) -> DataFrame:
     """Which row of equal texts (A-Z lower-cased, nothing else) stays: that of the largest id.
 
-    Returns doc_id, keep_id, group_size, kept, text_sha256, one row per row of ``docs``. Null
+    Returns doc_id, keep_id, group_size, kept, text_sha256, locator, one row per row of ``docs``. Null
     counts as empty; empty texts are equal. Of repeated rows with the largest id the one with
     the last locator stays. Other columns are ignored; no rows give no rows. ``digest`` (a
     column of the normalised text ``norm``) is the state's key, SHA-256 unless given.
@@ -68,7 +68,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hashed.write.parquet(path)
     rows = spark.read.schema(hashed.schema).parquet(path)
     if rows.isEmpty():
-        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "locator")
     state = written(run_state(path, rows, batch_bytes), "dedup-groups")
 
     # full bytes of every digest with more than one row
@@ -86,4 +86,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         apart = collided.join(by_text, ["digest", "norm"]).select("doc_id", "locator", sha.alias("text_sha256"), "kept", "n")
         plain = rows.join(odd, "digest", "left_anti").join(state, "digest")
         joined = plain.select("doc_id", "locator", "text_sha256", "kept", "n").union(apart)
-    return joined.select("doc_id", F.col("kept.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), (F.struct("doc_id", "locator") == F.col("kept")).alias("kept"), "text_sha256")
+    return joined.select("doc_id", F.col("kept.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), (F.struct("doc_id", "locator") == F.col("kept")).alias("kept"), "text_sha256", "locator")
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` (read from files) without the rows that ``exact_duplicates`` does not keep."""
+    gone = written(exact_duplicates(docs, id_col, text_col).where("NOT kept").select("doc_id", "locator"), "dropped")
+    marked = docs.withColumn("_locator", locator(docs))
+    gone = small(gone.toDF("_gone", "_gone_locator"), HIT_BOUND)
+    return marked.join(gone, (F.col(id_col) == F.col("_gone")) & (F.col("_locator") == F.col("_gone_locator")), "left_anti").drop("_locator")

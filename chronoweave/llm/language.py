@@ -12,8 +12,10 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.llm.common import remainder, slices
 
@@ -43,9 +45,9 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket[inside], starts, np.diff(np.searchsorted(starts_all, ends), prepend=0)
 
 
-def blocks(frame: pd.DataFrame, limit: int = 1 << 19):
+def blocks(whole: list[str], limit: int = 1 << 19):
     """(rows, UTF-8 texts) of bounded size."""
-    texts = [x.encode() for x in frame["text"].tolist()]
+    texts = [x.encode() for x in whole]
     for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), limit):
         yield slice(a, b), texts[a:b]
 
@@ -61,7 +63,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, modulus: i
         total = np.zeros(len(langs) * n_buckets, np.int64)
         for frame in frames:
             lang = frame["lang"].map(number).to_numpy()
-            for rows_, texts in blocks(frame):
+            for rows_, texts in blocks(frame["text"].tolist()):
                 bucket, starts, words = trigrams(texts)
                 sizes = np.diff(np.append(starts, len(bucket)))
                 of = np.repeat(np.repeat(lang[rows_], words), sizes)
@@ -142,22 +144,25 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     langs, model = train(docs, id_col, text_col, lang_col, modulus, held_out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages: a fixed size
-
-    def predict(frames):
-        for frame in frames:
-            frame["letters"] = [bool(_LETTER.search(x)) for x in frame["text"].tolist()]
-            for rows, texts in blocks(frame):
+    new = ("held_out", "lang_pred", "score", "mixture")
+    kept = [c for c in keep if c not in ("doc_id", *new)]
+    text = text_col if text_col in kept else "_text"
+
+    def predict(batches):
+        for batch in batches:
+            whole = [x or "" for x in batch.column(text).to_pylist()]
+            letters = np.array([bool(_LETTER.search(x)) for x in whole], bool)
+            main, score, mixture = [], [], []
+            for rows, texts in blocks(whole):
                 share, sure = infer(shared.value, texts) if langs else (np.zeros((len(texts), 1)), np.zeros(len(texts)))
-                main = share.argmax(1)
-                ok = frame["letters"].to_numpy()[rows] & (share.sum(1) > 0)
-                out = frame.iloc[rows].drop(columns=["text", "letters"])
-                out["lang_pred"] = [langs[k] if good else UNDETERMINED for k, good in zip(main, ok)]
-                out["score"] = np.where(ok, np.clip(share.max(1) * sure, 0, 1), 0.0)
-                out["mixture"] = [",".join(f"{langs[k]}:{row[k]:.3f}" for k in np.argsort(-row, kind="stable") if row[k] > 0) if good else "" for row, good in zip(share, ok)]
-                yield out
-
-    kept = [c for c in keep if c not in ("doc_id", "held_out", "lang_pred", "score", "mixture", "text")]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(F.col(id_col), modulus) == held_out).alias("held_out"), text.alias("text"), *kept)
-    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double").add("mixture", "string")
-    return rows.mapInPandas(predict, schema).select("doc_id", "held_out", "lang_pred", "score", "mixture", *kept)
+                ok = letters[rows] & (share.sum(1) > 0)
+                main += [langs[k] if good else UNDETERMINED for k, good in zip(share.argmax(1), ok)]
+                score += np.where(ok, np.clip(share.max(1) * sure, 0, 1), 0.0).tolist()
+                mixture += [",".join(f"{langs[k]}:{row[k]:.3f}" for k in np.argsort(-row, kind="stable") if row[k] > 0) if good else "" for row, good in zip(share, ok)]
+            passed = [batch.column(c) for c in ("doc_id", "held_out", *kept)]
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(main, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.string())], names=["doc_id", "held_out", *kept, *new[1:]])
+
+    out = (remainder(F.col(id_col), modulus) == held_out).alias("held_out")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out, *kept, *([] if text in kept else [F.col(text_col).alias(text)]))
+    schema = T.StructType([x for x in rows.schema if x.name != "_text"]).add("lang_pred", "string").add("score", "double").add("mixture", "string")
+    return rows.mapInArrow(predict, schema).select("doc_id", *new, *kept)

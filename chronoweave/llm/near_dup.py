@@ -258,3 +258,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = feats.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id."""
+    gone = written(near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
+    return docs.join(small(gone, ID_BOUND), F.col(id_col) == F.col("_gone"), "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoweave.llm.common import UPPER, table
 
@@ -27,10 +28,16 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweave.llm.chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweave.llm.exact_dedup import exact_duplicates
 
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("locator")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +64,13 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweave.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), F.col("m_topic").alias("topic"), "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweave.llm.ppm import score_documents
 
@@ -68,7 +82,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from chronoweave.llm.chat import ROTATE_SQL
+    from chronoweave.llm.mixing import RATE, ROUNDS, TEMPER, mix_sql
+
     return {
+        "op3_chat_rotation": ROTATE_SQL,
+        "op9_mixing": mix_sql(TEMPER, RATE, ROUNDS),
         "op4_exact_dedup": f"""
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
