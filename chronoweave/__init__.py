@@ -1,0 +1 @@
+"""Bitemporal knowledge-graph analytics and training-data operators on PySpark."""
