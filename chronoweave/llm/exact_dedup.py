@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.common import ascii_lower, fresh_path, small, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, without space set aside for each of many small stores.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 HIT_BOUND = 1_000_000
 
 
@@ -35,9 +39,10 @@ def locator(docs: DataFrame) -> Column:
 def run_state(rows_path: str, rows: DataFrame, batch_bytes: int) -> DataFrame:
     """(digest, kept, n) after the stream over the Parquet files in ``rows_path`` has ended."""
     spark = rows.sparkSession
-    key, state = "spark.sql.streaming.stateStore.providerClass", fresh_path(spark, "dedup-state")
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    state = fresh_path(spark, "dedup-state")
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         source = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", batch_bytes).parquet(rows_path)
         # no watermark: the state has no expiry
@@ -45,7 +50,8 @@ def run_state(rows_path: str, rows: DataFrame, batch_bytes: int) -> DataFrame:
         query = kept.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).format("noop")
         query.start().awaitTermination()
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     stored = spark.read.format("statestore").load(state)
     value = next(f.dataType.fieldNames() for f in stored.schema.fields if f.name == "value")
     return stored.select(F.col("key")[stored.schema["key"].dataType.fieldNames()[0]].alias("digest"), F.col("value")[value[0]].alias("kept"), F.col("value")[value[1]].alias("n"))
@@ -92,6 +98,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (read from files) without the rows that ``exact_duplicates`` does not keep."""
     gone = written(exact_duplicates(docs, id_col, text_col).where("NOT kept").select("doc_id", "locator"), "dropped")
-    marked = docs.withColumn("_locator", locator(docs))
-    gone = small(gone.toDF("_gone", "_gone_locator"), HIT_BOUND)
-    return marked.join(gone, (F.col(id_col) == F.col("_gone")) & (F.col("_locator") == F.col("_gone_locator")), "left_anti").drop("_locator")
+    marked = docs.withColumn("_cw_locator", locator(docs))
+    gone = small(gone.toDF("_cw_gone", "_cw_gone_locator"), HIT_BOUND)
+    return marked.join(gone, (F.col(id_col) == F.col("_cw_gone")) & (F.col("_cw_locator") == F.col("_cw_gone_locator")), "left_anti").drop("_cw_locator")
