@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoweave.llm.common import table, written
 from chronoweave.llm.exact_dedup import drop_exact_duplicates
@@ -16,11 +17,15 @@ from chronoweave.llm.queries import bpe_path
 MIN_SCORE = 0.5
 
 
+def apart(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns an operator reads, and all of a row in one, so that no names clash."""
+    return docs.select(*columns, F.struct("*").alias("_cw_row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language, or without one that prevails."""
-    found = identify(docs, keep=tuple(docs.columns))
-    # the operator's own columns carry other names than those of documents
-    return found.where((found["lang_pred"] != UNDETERMINED) & (found["score"] >= MIN_SCORE)).select(*docs.columns)
+    found = identify(apart(docs, "doc_id", "text", "lang"), keep=("_cw_row",))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select("_cw_row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents to the target mixture."""
-    return mix(docs).where("kept").select(*docs.columns)
+    return mix(apart(docs, "doc_id", "text", "source", "lang")).where("kept").select("_cw_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
