@@ -63,6 +63,11 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """``df`` in as many tasks as ``rows`` need; small tables then don't cost a task per shuffle partition."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import written
+from chronoweave.llm.common import sized, small, written
+
+#: Nodes up to which a round's moves are broadcast (16 bytes each); beyond it they are shuffled.
+NODE_BOUND = 1_000_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,20 +19,21 @@ def components(links: DataFrame) -> DataFrame:
     A constant share of the nodes goes in each round, whatever the shape of the graph.
     """
     left = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    moves: list[DataFrame] = []
-    while not left.isEmpty():
+    n, moves = left.count(), []
+    while n:
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(moves))).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
         both = left.select("a", "b").union(left.select("b", "a"))
         best = both.select("a", rank("b").alias("r")).groupBy("a").agg(F.min("r").alias("r"))
-        move = written(best.select(F.col("a").alias("node"), F.least("r", rank("a"))["n"].alias("to")), "moves")
+        move = written(sized(best.select(F.col("a").alias("node"), F.least("r", rank("a"))["n"].alias("to")), n), "moves")
         moves.append(move)
-        a, b = move.toDF("a", "ta"), move.toDF("b", "tb")
-        step = left.join(a, "a").join(b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-        left = written(step.distinct(), "links")
+        near = small(move, NODE_BOUND)
+        step = left.join(near.toDF("a", "ta"), "a").join(near.toDF("b", "tb"), "b").where("ta <> tb")
+        left = written(sized(step.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), n), "links")
+        n = left.count()
     if not moves:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    label = moves[0]
+    label, size = moves[0], moves[0].count()
     for move in moves[1:]:
-        label = written(label.join(move.toDF("to", "next"), "to", "left").select("node", F.coalesce("next", "to").alias("to")), "labels")
-    least = label.groupBy("to").agg(F.min("node").alias("component"))
-    return written(label.join(least, "to").select("node", "component"), "components")
+        label = written(sized(label.join(small(move.toDF("to", "next"), NODE_BOUND), "to", "left").select("node", F.coalesce("next", "to").alias("to")), size), "labels")
+    least = written(sized(label.groupBy("to").agg(F.min("node").alias("component")), size), "roots")
+    return written(sized(label.join(small(least, NODE_BOUND), "to").select("node", "component"), size), "components")

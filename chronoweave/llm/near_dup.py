@@ -20,15 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import mix64, slices, small, stream64, words_of, written
+from chronoweave.llm.common import mix64, sized, slices, small, stream64, words_of, written
 from chronoweave.llm.components import components
 
 PERCENT = 80
 BANDS, ROWS = 12, 3
 #: Signature agreement from which a member may go to a hub, and that at which it then looks no further.
 RESEMBLES, SETTLED = 0.4, 0.65
-BLOCK = 4096
+BLOCK = 1024
 ID_BOUND = 2_000_000
+#: Rows of buckets for a task.
+BUCKET_ROWS = 100_000
 
 
 def shingle_sets(texts: list[bytes], n: int = 2) -> list[np.ndarray]:
@@ -122,6 +124,7 @@ def elect(multi: DataFrame, reps: DataFrame) -> DataFrame:
     documents that settle, and those members, leave. Rounds end when no bucket has two left.
     """
     rows, width, found = multi, 1, []
+    n = multi.count()
     order = Window.partitionBy("key").orderBy(F.desc("degree"), "rep")
     while True:
         ranked = rows.withColumn("rank", F.row_number().over(order))
@@ -133,13 +136,14 @@ def elect(multi: DataFrame, reps: DataFrame) -> DataFrame:
             pairs = ranked.join(heads, "key").where("rank > hub_rank").select("rep", "hub", "hub_degree")
         got = with_agreement(pairs.groupBy("rep", "hub").agg(F.max("hub_degree").alias("hub_degree")), reps)
         best = got.groupBy("rep").agg(F.max(F.struct("hub_degree", (-F.col("hub")).alias("minus"), "alike")).alias("m"))
-        got = written(best.select("rep", (-F.col("m.minus")).alias("hub"), F.col("m.hub_degree").alias("hub_degree"), F.col("m.alike").alias("alike")), "hubs")
+        got = written(sized(best, n, BUCKET_ROWS).select("rep", (-F.col("m.minus")).alias("hub"), F.col("m.hub_degree").alias("hub_degree"), F.col("m.alike").alias("alike")), "hubs")
         found.append(got)
         settled = got.where(F.col("alike") >= SETTLED).select("rep")
-        rest = ranked.where(F.col("rank") > width).join(settled, "rep", "left_anti").select("key", "rep", "degree")
+        rest = ranked.where(F.col("rank") > width).join(small(settled, ID_BOUND), "rep", "left_anti").select("key", "rep", "degree")
         rest = rest.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").drop("c")
-        rows, width = written(rest, "buckets"), 4 * width
-        if rows.isEmpty():
+        rows, width = written(sized(rest, n, BUCKET_ROWS), "buckets"), 4 * width
+        n = rows.count()
+        if not n:
             break
     out = found[0]
     for x in found[1:]:
@@ -219,7 +223,7 @@ def rest_links(group: pd.DataFrame) -> pd.DataFrame:
 def residual_links(pairs: DataFrame) -> DataFrame:
     """Links between members of a hub of which one at least is not linked with the hub."""
     per_hub = pairs.groupBy("hub").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("rest")).where("rest > 0 AND members > 1")
-    both = pairs.join(per_hub, "hub").select("hub", "rep", "n", "diff", "linked", F.ceil(F.col("members") / BLOCK).cast("int").alias("nv"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("nr"))
+    both = pairs.join(small(written(per_hub, "hub-sizes"), ID_BOUND), "hub").select("hub", "rep", "n", "diff", "linked", F.ceil(F.col("members") / BLOCK).cast("int").alias("nv"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("nr"))
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     v = both.select("hub", "rep", "n", "diff", "linked", F.lit("V").alias("side"), mine("nv").alias("bv"), all_of("nr").alias("br"))
@@ -262,5 +266,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id."""
-    gone = written(near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    return docs.join(small(gone, ID_BOUND), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = written(near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_cw_gone")).distinct(), "dropped")
+    return docs.join(small(gone, ID_BOUND), F.col(id_col) == F.col("_cw_gone"), "left_anti")
