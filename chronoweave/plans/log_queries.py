@@ -88,7 +88,7 @@ def p8_normalised_events(s, d):
     return pick("audit", F.col("contains_sensitive")).unionByName(pick("activity", F.col("contains_sensitive"))).unionByName(pick("operational", F.lit(False)))
 
 
-@query("SELECT seq, array_to_string(list_filter([CASE WHEN predicate = 'based-in' AND seq % 3 = 0 THEN 'missing:valid_from' END, CASE WHEN seq % 5 = 0 THEN 'reserved:status' END], x -> x IS NOT NULL), ',') AS issues FROM v_edges", "v_edges")
+@query("SELECT seq, array_to_string(list_filter([CASE WHEN predicate = 'based-in' AND seq % 3 = 0 THEN 'missing:valid_from' END, CASE WHEN seq % 5 = 0 THEN 'reserved:status' END], lambda x: x IS NOT NULL), ',') AS issues FROM v_edges", "v_edges")
 def p15_edge_schema(s, d):
     attrs = F.array_compact(F.array(F.when(F.col("seq") % 3 != 0, "valid_from"), F.when(F.col("seq") % 5 == 0, "status")))
     required = F.when(F.col("predicate") == "based-in", F.array(F.lit("valid_from"))).otherwise(F.array().cast("array<string>"))

@@ -289,7 +289,7 @@ def a47_lossless_check(s, d):
     return view(s, d, "documents").agg(F.count("*").alias("documents"), F.count_if(same).alias("unchanged"), F.count_if(~same).alias("changed"))
 
 
-@query("SELECT generation, array_to_string(list_filter([CASE WHEN status <> 'committed' THEN 'not-committed' END, CASE WHEN object_count < 1200 THEN 'few-objects' END, CASE WHEN bytes > 31000 THEN 'large' END], x -> x IS NOT NULL), ',') AS blockers FROM v_batches", "v_batches")
+@query("SELECT generation, array_to_string(list_filter([CASE WHEN status <> 'committed' THEN 'not-committed' END, CASE WHEN object_count < 1200 THEN 'few-objects' END, CASE WHEN bytes > 31000 THEN 'large' END], lambda x: x IS NOT NULL), ',') AS blockers FROM v_batches", "v_batches")
 def a46_blockers(s, d):
     checks = F.array(F.when(F.col("status") != "committed", "not-committed"), F.when(F.col("object_count") < 1200, "few-objects"), F.when(F.col("bytes") > 31000, "large"))
     return view(s, d, "v_batches").select("generation", F.array_join(F.array_compact(checks), ",").alias("blockers"))
@@ -341,7 +341,7 @@ def t18_query_normalization(s, d):
     return view(s, d, "documents").where("lang = 'en'").where(head.rlike(r"^[\x20-\x7e\n]*$")).select("doc_id", digest.normal_query(head).alias("q"))
 
 
-@query("WITH n AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), x -> x NOT IN ('the', 'of', 'and', 'a', '')) AS w FROM documents) SELECT doc_id, array_to_string(w[1:12], ' ') AS k FROM n")
+@query("WITH n AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN ('the', 'of', 'and', 'a', '')) AS w FROM documents) SELECT doc_id, array_to_string(w[1:12], ' ') AS k FROM n")
 def t20_grouping_text(s, d):
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
     return view(s, d, "documents").select("doc_id", F.array_join(F.slice(F.filter(words, lambda x: ~x.isin("the", "of", "and", "a", "")), 1, 12), " ").alias("k"))

@@ -245,7 +245,7 @@ def p13_canonical_predicates(s, d):
     return rules.canonical_predicates(spelled(s, d), "name").select("o_orderkey", "name", "canonical", "source")
 
 
-@query("SELECT o_orderkey, [CASE WHEN o_orderkey % 2 = 0 THEN 'person' ELSE 'project' END][1] AS source_type, CASE WHEN o_orderkey % 3 = 0 THEN 'organization' ELSE 'occurrence' END AS target_type, CASE o_orderkey % 4 WHEN 0 THEN 'member-of' WHEN 1 THEN 'part-of' WHEN 2 THEN 'nonsense' ELSE 'participant-in' END AS predicate, array_to_string(list_filter([CASE WHEN o_orderkey % 4 = 2 THEN 'unknown-predicate' END, CASE WHEN (o_orderkey % 4 = 0 AND o_orderkey % 2 = 1) OR (o_orderkey % 4 = 1 AND o_orderkey % 2 = 0) OR (o_orderkey % 4 = 3 AND o_orderkey % 2 = 1) THEN 'domain' END, CASE WHEN (o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0) OR (o_orderkey % 4 IN (1, 3) AND o_orderkey % 3 = 0) THEN 'range' END, CASE WHEN o_orderkey % 4 = 1 THEN 'same-kind' END], x -> x IS NOT NULL), ',') AS violations FROM orders")
+@query("SELECT o_orderkey, [CASE WHEN o_orderkey % 2 = 0 THEN 'person' ELSE 'project' END][1] AS source_type, CASE WHEN o_orderkey % 3 = 0 THEN 'organization' ELSE 'occurrence' END AS target_type, CASE o_orderkey % 4 WHEN 0 THEN 'member-of' WHEN 1 THEN 'part-of' WHEN 2 THEN 'nonsense' ELSE 'participant-in' END AS predicate, array_to_string(list_filter([CASE WHEN o_orderkey % 4 = 2 THEN 'unknown-predicate' END, CASE WHEN (o_orderkey % 4 = 0 AND o_orderkey % 2 = 1) OR (o_orderkey % 4 = 1 AND o_orderkey % 2 = 0) OR (o_orderkey % 4 = 3 AND o_orderkey % 2 = 1) THEN 'domain' END, CASE WHEN (o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0) OR (o_orderkey % 4 IN (1, 3) AND o_orderkey % 3 = 0) THEN 'range' END, CASE WHEN o_orderkey % 4 = 1 THEN 'same-kind' END], lambda x: x IS NOT NULL), ',') AS violations FROM orders")
 def p14_endpoint_checks(s, d):
     k = F.col("o_orderkey")
     edges = view(s, d, "orders").select("o_orderkey", F.when(k % 2 == 0, "person").otherwise("project").alias("source_type"), F.when(k % 3 == 0, "organization").otherwise("occurrence").alias("target_type"), F.when(k % 4 == 0, "member-of").when(k % 4 == 1, "part-of").when(k % 4 == 2, "nonsense").otherwise("participant-in").alias("predicate"))
