@@ -130,9 +130,9 @@ def f15_remote_readable(s, d):
     return view(s, d, "v_objects").where((F.col("tombstone") == 0) & (F.col("payload") != "ciphertext")).select("object_ref", "version", "size")
 
 
-@query("SELECT ordinal, version, object_ref FROM v_objects QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY version DESC, object_ref DESC) = 1 AND tombstone = 0", "v_objects")
+@query("SELECT ordinal, version, object_ref FROM v_objects QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY version DESC, object_ref DESC, tombstone DESC) = 1 AND tombstone = 0", "v_objects")
 def f16_latest_objects(s, d):
-    return sync.latest(view(s, d, "v_objects"), "ordinal", "version", "object_ref").where("tombstone = 0").select("ordinal", "version", "object_ref")
+    return sync.latest(view(s, d, "v_objects"), "ordinal", "version", "object_ref", "tombstone").where("tombstone = 0").select("ordinal", "version", "object_ref")
 
 
 @query("SELECT ordinal, max(version) AS version, arg_max(object_ref, version) AS object_ref FROM v_objects WHERE ordinal = 33 GROUP BY ordinal", "v_objects")
@@ -700,7 +700,7 @@ def t17_chunks(s, d):
 # scalars --------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, trim(regexp_replace(lower('#' || event_type || '  x'), '^#', '')) AS tag, substr(props, 1, 4) AS head, strftime(ts, '%Y-%m-%d') AS day, CAST(epoch(ts) // 60 * 60 AS BIGINT) AS minute, CAST(ceil(value / 10) * 10 AS BIGINT) AS bucket, round(value / 7.0, 3) AS ratio, sha256(event_type) AS hash, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
+@query("SELECT event_id, trim(regexp_replace(lower('#' || event_type || '  x'), '^#', '')) AS tag, substr(props, 1, 4) AS head, strftime(ts, '%Y-%m-%d') AS day, CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS minute, CAST(ceil(value / 10) * 10 AS BIGINT) AS bucket, round(value / 7.0, 3) AS ratio, sha256(event_type) AS hash, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
 def x_scalars(s, d):
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     return view(s, d, "events").select(
