@@ -13,8 +13,8 @@ from chronoweave.llm.near_dup import drop_near_duplicates
 from chronoweave.llm.packing import pack
 from chronoweave.llm.queries import bpe_path
 
-#: Documents whose main language is less certain than this are rejected.
-MIN_SCORE = 0.5
+#: Documents whose main language is less certain than this are rejected; a mixture of known languages is kept.
+MIN_SCORE = 0.25
 
 
 def apart(docs: DataFrame, *columns: str) -> DataFrame:
@@ -23,7 +23,7 @@ def apart(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language, or without one that prevails."""
+    """Drops documents without a language, or whose language is a guess."""
     found = identify(apart(docs, "doc_id", "text", "lang"), keep=("_cw_row",))
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select("_cw_row.*")
 
