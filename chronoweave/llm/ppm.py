@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -26,7 +27,7 @@ from chronoweave.llm.common import HashIndex, ascii_lower, mix64, remainder, sli
 
 ORDER = 5
 HEAD_WORDS = 100_000
-MAX_NODES = 1 << 20
+MAX_NODES = 1 << 19
 _MASKS = [np.uint64((1 << 8 * k) - 1) for k in range(1, 8)]
 
 
@@ -190,6 +191,36 @@ def count_corpus(frames):
             yield pd.DataFrame({"kind": kind, "key": key, "n": np.concatenate((n_word, n_code, [len(texts)]))})
 
 
+def most_frequent(counts: DataFrame, kind: int, most: int) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
+    """Keys and counts of the most frequent entries, at most ``most``, and whether those are all.
+
+    The least count comes from a histogram with 16 bins a doubling, so nothing is sorted and
+    the driver gets no more than the entries that it keeps.
+    """
+    rows = counts.where(F.col("kind") == kind).select("key", "n", F.floor(F.log2("n") * 16).cast("int").alias("bin"))
+    bins = {r["bin"]: r["count"] for r in rows.groupBy("bin").count().collect()}  # some 1000 at most
+    total, least = 0, None
+    for k in sorted(bins, reverse=True):
+        if total + bins[k] > most:
+            break
+        total, least = total + bins[k], k
+    got = rows.where(F.lit(False) if least is None else F.col("bin") >= least).select("key", "n").toPandas().sort_values("key")
+    return (got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)), total == sum(bins.values())
+
+
+_MODEL: dict[str, tuple] = {}
+
+
+def model_of(token: str, head_key: np.ndarray, head_n: np.ndarray, code: np.ndarray, code_n: np.ndarray) -> tuple:
+    """(index of the frequent words, log10(count + 1) of each and of no word, trie), built once a worker."""
+    if token not in _MODEL:
+        _MODEL.clear()
+        index = HashIndex(max(8, len(head_key)))
+        index.add(head_key.view(np.uint64))
+        _MODEL[token] = index, np.append(np.log10(head_n + 1.0), 0.0), Trie(code.view(np.uint64), code_n) if len(code) else None
+    return _MODEL[token]
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, head_words: int = HEAD_WORDS, max_nodes: int = MAX_NODES) -> DataFrame:
     """Unigram base score and PPM score of every whole text (A-Z lower-cased).
 
@@ -207,17 +238,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_train = sums[2].n if 2 in sums else 0
     total = n_train + (sums[0].n if 0 in sums else 0)
     distinct = (n_train > 0) + (sums[0].kinds if 0 in sums else 0)
-    top = lambda kind, n: counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(n).toPandas()  # noqa: E731  fixed bounds
-    head, nodes = top(0, head_words), top(1, max_nodes)
-    shared = spark.sparkContext.broadcast((head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64), nodes["key"].to_numpy(np.int64), nodes["n"].to_numpy(np.int64)))
-    complete = len(head) < head_words
+    head, all_words = most_frequent(counts, 0, head_words)
+    nodes, _ = most_frequent(counts, 1, max_nodes)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *head, *nodes))
 
     def score(frames):
-        head_key, head_n, code, code_n = shared.value
-        index = HashIndex(max(8, len(head_key)))
-        index.add(head_key.view(np.uint64))
-        gain = np.append(np.log10(head_n + 1.0), 0.0)
-        trie = Trie(code.view(np.uint64), code_n) if len(code) else None
+        index, gain, trie = model_of(*shared.value)
         row = TaskContext.get().partitionId() << 40
         for frame in frames:
             texts = [x.encode() for x in frame["text"].tolist()]
@@ -226,7 +252,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 at = index.find(words)
                 first = np.cumsum(n) - n
                 add = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[np.append(first, len(words))])  # noqa: E731, B023
-                rare = np.zeros(len(words), bool) if complete else at < 0
+                rare = np.zeros(len(words), bool) if all_words else at < 0
                 rest = words[rare].view(np.int64)
                 cut = np.cumsum(add(rare).astype(np.int64)).tolist()
                 ppm = trie.score(texts[a:b]) if trie else np.array([-(len(x) + 1) * math.log10(256) for x in texts[a:b]])
