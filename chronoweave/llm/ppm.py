@@ -178,9 +178,10 @@ def adaptive_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def count_corpus(frames):
     """(kind, key, n): words of training texts (kind 0), byte n-grams (1), training documents and ends (2)."""
+    _MODEL.clear()  # of an earlier job in this worker
     for frame in frames:
         every = [x.encode() for x in frame["text"].tolist()]
-        for first, past in blocks(every, 1 << 23):
+        for first, past in blocks(every, 1 << 21):
             texts = every[first:past]
             words = [words_of(texts[a:b])[0] for a, b in blocks(texts, 1 << 20)]
             codes = [grams(texts[a:b])[0] for a, b in blocks(texts, 1 << 20)]
