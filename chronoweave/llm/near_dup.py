@@ -7,7 +7,9 @@ second. ``bands * bands`` tables of ``2 * rows`` hashes thus cost ``2 * bands *
 Documents with equal shingle sets are first collapsed to one row. In each table bucket the
 member with the most bucket mates is the hub; a member goes to the hub of the highest such
 degree that its signature resembles. No pairs within a bucket are made but those with hubs.
-Each (member, hub) pair is confirmed on the full sets, which also gives the member's
+Pairs tested on the way whose signatures make the threshold plausible, and which no common
+hub covers, are kept too, and each member also tries the hubs that its bucket mates settled
+with: a member may lie between a large hub and a small one. Each (member, hub) pair is confirmed on the full sets, which also gives the member's
 difference from the hub. Members that do not reach the threshold with their hub are
 compared, exactly and in bounded blocks, with the hub's other members: the sizes and the
 overlap of two differences from the same hub give the intersection of the full sets.
@@ -15,6 +17,8 @@ overlap of two differences from the same hub give the intersection of the full s
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,6 +31,8 @@ PERCENT = 80
 BANDS, ROWS = 12, 3
 #: Signature agreement from which a member may go to a hub, and that at which it then looks no further.
 RESEMBLES, SETTLED = 0.4, 0.65
+#: Signature agreement from which a tested pair may reach the threshold (0.8 gives less in about 1 of 15,000).
+PLAUSIBLE = 0.6
 BLOCK = 1024
 ID_BOUND = 2_000_000
 #: Rows of buckets for a task.
@@ -117,13 +123,13 @@ def with_agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInPandas(agreement, "rep long, hub long, hub_degree long, alike double").where(F.col("alike") >= RESEMBLES)
 
 
-def elect(multi: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, hub, hub_degree, alike): the hubs that each document goes to.
+def elect(multi: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, hub, hub_degree, alike): the hubs that each document goes to, and all tested pairs that are ``PLAUSIBLE``.
 
     A round tests the members of a bucket against its first 1, 4, 16 ... members by degree;
     documents that settle, and those members, leave. Rounds end when no bucket has two left.
     """
-    rows, width, found = multi, 1, []
+    rows, width, found, close = multi, 1, [], []
     n = multi.count()
     order = Window.partitionBy("key").orderBy(F.desc("degree"), "rep")
     while True:
@@ -135,6 +141,8 @@ def elect(multi: DataFrame, reps: DataFrame) -> DataFrame:
             heads = ranked.where(F.col("rank") <= width).select("key", F.col("rep").alias("hub"), F.col("degree").alias("hub_degree"), F.col("rank").alias("hub_rank"))
             pairs = ranked.join(heads, "key").where("rank > hub_rank").select("rep", "hub", "hub_degree")
         got = with_agreement(pairs.groupBy("rep", "hub").agg(F.max("hub_degree").alias("hub_degree")), reps)
+        got = written(sized(got, n, BUCKET_ROWS), "tested")
+        close.append(got.where(F.col("alike") >= PLAUSIBLE).select("rep", "hub"))
         best = got.groupBy("rep").agg(F.max(F.struct("hub_degree", (-F.col("hub")).alias("minus"), "alike")).alias("m"))
         got = written(sized(best, n, BUCKET_ROWS).select("rep", (-F.col("m.minus")).alias("hub"), F.col("m.hub_degree").alias("hub_degree"), F.col("m.alike").alias("alike")), "hubs")
         found.append(got)
@@ -145,22 +153,28 @@ def elect(multi: DataFrame, reps: DataFrame) -> DataFrame:
         n = rows.count()
         if not n:
             break
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
+    return reduce(DataFrame.union, found), reduce(DataFrame.union, close)
 
 
 def harmonise(multi: DataFrame, hubs: DataFrame, reps: DataFrame) -> DataFrame:
-    """More (rep, hub) rows: each member of a bucket also tries the best hub of its bucket mates."""
+    """More (rep, hub) rows: each member of a bucket also tries the best hub of its bucket mates, and all that they settled with."""
     own = hubs.groupBy("rep").agg(F.max(F.struct("hub_degree", (-F.col("hub")).alias("minus"))).alias("m"))
     self_hub = F.struct(F.col("degree").alias("hub_degree"), (-F.col("rep")).alias("minus"))
     rows = multi.join(own, "rep", "left").withColumn("m", F.greatest(F.coalesce("m", self_hub), self_hub))
-    top = rows.withColumn("t", F.max("m").over(Window.partitionBy("key"))).where("t.minus <> m.minus")
-    pairs = top.groupBy("rep", (-F.col("t.minus")).alias("hub")).agg(F.max("t.hub_degree").alias("hub_degree")).where("rep <> hub")
+    top = rows.groupBy("key").agg(F.max("m").alias("t")).select("key", (-F.col("t.minus")).alias("hub"), F.col("t.hub_degree").alias("hub_degree"))
+    settled = hubs.where(F.col("alike") >= SETTLED).select("rep", "hub", "hub_degree")
+    tried = top.union(multi.join(settled, "rep").select("key", "hub", "hub_degree")).distinct()
+    pairs = multi.join(tried, "key").where("rep <> hub").groupBy("rep", "hub").agg(F.max("hub_degree").alias("hub_degree"))
     return with_agreement(pairs.join(hubs.select("rep", "hub"), ["rep", "hub"], "left_anti"), reps)
 
 
+def uncovered(close: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of ``close`` without a common hub; those with one are compared among its members."""
+    via = pairs.union(pairs.select("rep", F.col("rep").alias("hub"))).union(pairs.select("hub", "hub")).distinct()
+    covered = close.join(via.toDF("rep", "via"), "rep").join(via.toDF("hub", "via"), ["hub", "via"]).select("rep", "hub")
+    return close.join(covered, ["rep", "hub"], "left_anti").distinct()
+
+
 def confirm(frames):
     """Exact sizes, intersection and symmetric difference of each pair's full sets."""
     for frame in frames:
@@ -247,8 +261,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = reps.select("rep", "half_b", F.explode("half_a").alias("a")).select("rep", "a", F.explode("half_b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "rep")
     shared = keys.withColumn("mates", F.count("*").over(Window.partitionBy("key")) - 1).where("mates > 0")
     multi = written(shared.withColumn("degree", F.sum("mates").over(Window.partitionBy("rep"))).drop("mates"), "buckets")
-    hubs = written(elect(multi, reps), "hubs")
-    pairs = written(hubs.select("rep", "hub").union(harmonise(multi, hubs, reps).select("rep", "hub")).distinct(), "pairs")
+    hubs, close = elect(multi, reps)
+    hubs = written(hubs, "hubs")
+    listed = written(hubs.select("rep", "hub").union(harmonise(multi, hubs, reps).select("rep", "hub")).distinct(), "listed")
+    pairs = written(listed.union(uncovered(close, listed)), "pairs")
 
     ids = written(pairs.select("rep").union(pairs.select("hub")).distinct().toDF("doc_id"), "ids")
     texts = written(rows.join(small(ids, ID_BOUND), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")

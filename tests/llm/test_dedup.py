@@ -96,6 +96,25 @@ def test_near_by_brute_force(spark, monkeypatch, block):
     assert got == brute_components(rows)
 
 
+def test_near_between_a_large_and_a_small_hub(spark):
+    """C links with B only, resembles the hub A of a large group, and A is further from B, the hub of a small group."""
+    rnd = random.Random(7)
+    rows = []
+    for k in range(30):
+        word = iter(f"t{k}x{j}" for j in range(10_000))
+        take = lambda n: [next(word) for _ in range(n)]  # noqa: E731, B023
+        shared, own = take(100), take(70)
+        a = shared + take(60)
+        b = take(18) + shared[18:] + own  # beside C, about 0.81
+        rows += [(" ".join(a[: len(a) - j] + take(j)),) for j in range(12)]
+        rows += [(" ".join(shared + own),), (" ".join(b),)]
+        rows += [(" ".join(b[: len(b) - 7 - j] + take(7 + j)),) for j in range(5)]  # beside B, too far from C
+    rnd.shuffle(rows)
+    rows = [(n, x) for n, (x,) in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_near_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "ID_BOUND", 0)
     rows = make_near(9)[:60]
