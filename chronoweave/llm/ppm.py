@@ -6,6 +6,10 @@ as many escapes as distinct symbols seen), after which the symbols of the longer
 excluded. Since a context's symbols are all symbols of its suffix, the totals after exclusion
 are a property of the longer context and are computed once; scoring is then array lookups.
 
+A code length depends on the n-gram alone. The most frequent n-grams (a fixed number) are looked
+up where the text is read, the others by a join with all counts: those seen in training have
+their own code length, the others fall back over the shorter contexts, joined order by order.
+
 The unigram base takes word counts from a shuffle that grows with the corpus: the most
 frequent words (a fixed number) are looked up where the text is read, the others by a join.
 """
@@ -192,43 +196,103 @@ def count_corpus(frames):
             yield pd.DataFrame({"kind": kind, "key": key, "n": np.concatenate((n_word, n_code, [len(texts)]))})
 
 
-def most_frequent(counts: DataFrame, kind: int, most: int) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
-    """Keys and counts of the most frequent entries, at most ``most``, and whether those are all.
+def most_frequent(counts: DataFrame, kind: int, most: int, give: str = "n") -> tuple[tuple[np.ndarray, np.ndarray], bool]:
+    """Keys and counts (or the column ``give``) of the most frequent entries, at most ``most``, and whether those are all.
 
     The least count comes from a histogram with 16 bins a doubling, so nothing is sorted and
     the driver gets no more than the entries that it keeps.
     """
-    rows = counts.where(F.col("kind") == kind).select("key", "n", F.floor(F.log2("n") * 16).cast("int").alias("bin"))
+    rows = counts.where(F.col("kind") == kind).select("key", F.col(give).alias("given"), F.floor(F.log2("n") * 16).cast("int").alias("bin"))
     bins = {r["bin"]: r["count"] for r in rows.groupBy("bin").count().collect()}  # some 1000 at most
     total, least = 0, None
     for k in sorted(bins, reverse=True):
         if total + bins[k] > most:
             break
         total, least = total + bins[k], k
-    got = rows.where(F.lit(False) if least is None else F.col("bin") >= least).select("key", "n").toPandas().sort_values("key")
-    return (got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)), total == sum(bins.values())
+    got = rows.where(F.lit(False) if least is None else F.col("bin") >= least).select("key", "given").toPandas().sort_values("key")
+    return (got["key"].to_numpy(np.int64), got["given"].to_numpy(np.float64 if give == "value" else np.int64)), total == sum(bins.values())
 
 
 _MODEL: dict[str, tuple] = {}
 
 
-def model_of(token: str, head_key: np.ndarray, head_n: np.ndarray, code: np.ndarray, code_n: np.ndarray) -> tuple:
-    """(index of the frequent words, log10(count + 1) of each and of no word, trie), built once a worker."""
+def model_of(token: str, head_key: np.ndarray, head_n: np.ndarray, code: np.ndarray, value: np.ndarray) -> tuple:
+    """(index of the frequent words, log10(count + 1) of each and of no word, index of the frequent n-grams, log10 of each and 0), built once a worker."""
     if token not in _MODEL:
         _MODEL.clear()
-        index = HashIndex(max(8, len(head_key)))
+        index, codes = HashIndex(max(8, len(head_key))), HashIndex(max(8, len(code)))
         index.add(head_key.view(np.uint64))
-        _MODEL[token] = index, np.append(np.log10(head_n + 1.0), 0.0), Trie(code.view(np.uint64), code_n) if len(code) else None
+        codes.add(mix64(code.view(np.uint64) + np.uint64(1)))
+        _MODEL[token] = index, np.append(np.log10(head_n + 1.0), 0.0), codes, np.append(value, 0.0)
     return _MODEL[token]
 
 
+def own_values(counts: DataFrame) -> DataFrame:
+    """(key, n, value): the training n-grams, and log10 of each in its longest context."""
+    context = F.shiftright("key", 8)
+    rows = counts.where("kind = 1").select("key", "n", context.alias("context"))
+    nodes = rows.groupBy("context").agg((F.sum("n") + F.count("*")).alias("all"))
+    return rows.join(nodes, "context").select("key", "n", (F.log10("n") - F.log10("all")).alias("value"))
+
+
+def fallback_values(counts: DataFrame, unseen: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, value) of the distinct n-grams ``unseen`` (column key) that training does not have, as ``Trie.log10`` gives them."""
+    mask = [int(x) for x in _MASKS]
+    tables = [written(counts.where("kind = 1").groupBy(F.col("key").bitwiseAND(F.lit(mask[order])).alias("key")).agg(F.sum("n").alias("n")), "lm-grams")]
+    for k in range(order - 1, -1, -1):
+        shorter = tables[0].groupBy(F.col("key").bitwiseAND(F.lit(mask[k])).alias("key")).agg(F.sum("n").alias("n"))
+        tables.insert(0, written(shorter, "lm-grams"))
+    last = -math.log10(max(1, 256 - tables[0].count()))
+    nodes = [t.groupBy(F.shiftright("key", 8).alias("node")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")) for t in tables]
+    out = unseen
+    for k in range(order, -1, -1):
+        short = F.col("key").bitwiseAND(F.lit(mask[k]))
+        need = unseen.select(F.shiftright(short, 8).alias("node")).distinct()
+        node = nodes[k].join(need, "node", "left_semi")
+        if k:
+            under = tables[k - 1].select(F.col("key").alias("below"), F.col("n").alias("below_n"))
+            mine = tables[k].select(F.shiftright("key", 8).alias("node"), F.col("key").bitwiseAND(F.lit(mask[k - 1])).alias("below")).join(need, "node", "left_semi")
+            gone = mine.join(under, "below").groupBy("node").agg(F.sum("below_n").alias("gone"))
+            parent = nodes[k - 1].toDF("parent", "parent_total", "parent_kinds")
+            node = node.join(gone, "node").withColumn("parent", F.col("node").bitwiseAND(F.lit(mask[k - 2] if k > 1 else 0))).join(parent, "parent")
+            node = node.select("node", "total", "kinds", (F.col("parent_total") - F.col("gone")).alias("left"), (F.col("parent_kinds") - F.col("kinds")).alias("left_kinds"))
+        else:
+            node = node.select("node", "total", "kinds", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("left_kinds"))
+        out = out.withColumn("short", short).join(tables[k].toDF("short", f"n{k}"), "short", "left").drop("short")
+        out = out.withColumn("node", F.shiftright(short, 8)).join(node.toDF("node", f"total{k}", f"kinds{k}", f"left{k}", f"left_kinds{k}"), "node", "left").drop("node")
+        out = written(out, "lm-unseen")
+
+    def body(frames):
+        for frame in frames:
+            col = {c: frame[c].to_numpy(np.float64) for c in frame.columns if c != "key"}
+            value, done, child = np.zeros(len(frame)), np.zeros(len(frame), bool), np.zeros(len(frame), bool)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for k in range(order, -1, -1):
+                    n, every, kinds = col[f"n{k}"], col[f"total{k}"] + col[f"kinds{k}"], col[f"kinds{k}"]
+                    gram, node = ~np.isnan(n), ~np.isnan(kinds)
+                    fresh, after = ~done & ~child, ~done & child
+                    value += np.where(fresh & gram, np.log10(n) - np.log10(every), 0.0)
+                    value += np.where(fresh & ~gram & node, np.log10(kinds) - np.log10(every), 0.0)
+                    if k < order:
+                        left, left_kinds = col[f"left{k + 1}"], col[f"left_kinds{k + 1}"]
+                        some = left_kinds > 0
+                        value += np.where(after & gram, np.log10(n) - np.log10(left + left_kinds), 0.0)
+                        value += np.where(after & ~gram & some, np.log10(left_kinds) - np.log10(left + left_kinds), 0.0)
+                    done |= gram
+                    child = np.where(done, child, node)
+            yield pd.DataFrame({"key": frame["key"], "value": np.where(done, value, value + last)})
+
+    return out.mapInPandas(body, "key long, value double")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, head_words: int = HEAD_WORDS, max_nodes: int = MAX_NODES) -> DataFrame:
     """Unigram base score and PPM score of every whole text (A-Z lower-cased).
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null counts
     as empty: its only token is the end. Rows with the same id are scored one by one. Without
-    training texts every token is unknown and bytes are uniform. ``max_nodes`` bounds the
-    trie's longest contexts, of which the most frequent are kept. Other columns are ignored.
+    training texts every token is unknown and bytes are uniform. ``max_nodes`` n-grams, the
+    most frequent, are looked up where the text is read, the others joined: it does not change
+    the scores. Other columns are ignored.
     """
     spark = docs.sparkSession
     out = remainder(F.col(id_col), modulus) == held_out
@@ -240,11 +304,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = n_train + (sums[0].n if 0 in sums else 0)
     distinct = (n_train > 0) + (sums[0].kinds if 0 in sums else 0)
     head, all_words = most_frequent(counts, 0, head_words)
-    nodes, _ = most_frequent(counts, 1, max_nodes)
+    own = written(own_values(counts), "lm-own")
+    nodes, _ = most_frequent(own.select(F.lit(1).alias("kind"), "key", "n", "value"), 1, max_nodes, "value")
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *head, *nodes))
 
     def score(frames):
-        index, gain, trie = model_of(*shared.value)
+        index, gain, frequent, value = model_of(*shared.value)
         row = TaskContext.get().partitionId() << 40
         for frame in frames:
             texts = [x.encode() for x in frame["text"].tolist()]
@@ -256,18 +321,27 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rare = np.zeros(len(words), bool) if all_words else at < 0
                 rest = words[rare].view(np.int64)
                 cut = np.cumsum(add(rare).astype(np.int64)).tolist()
-                ppm = trie.score(texts[a:b]) if trie else np.array([-(len(x) + 1) * math.log10(256) for x in texts[a:b]])
+                codes, n_code = grams(texts[a:b])
+                node = frequent.find(mix64(codes + np.uint64(1)))
+                ppm = np.add.reduceat(value[node], np.cumsum(n_code) - n_code)
+                other = codes[node < 0].view(np.int64)
+                past = np.cumsum(np.add.reduceat((node < 0).astype(np.int64), np.cumsum(n_code) - n_code)).tolist()
                 yield pd.DataFrame({
                     "row": np.arange(row, row + b - a), "doc_id": frame["doc_id"].to_numpy()[a:b], "held_out": frame["held_out"].to_numpy()[a:b], "n_tokens": n + 1,
                     "known": add(at >= 0).astype(np.int64), "gain": add(gain[at]), "score": ppm, "rare": [rest[x:y] for x, y in zip([0, *cut], cut)],
+                    "other": [other[x:y] for x, y in zip([0, *past], past)],
                 })
                 row += b - a
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, gain double, score double, rare array<long>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, gain double, score double, rare array<long>, other array<long>"
     base = written(rows.mapInPandas(score, schema), "lm-scores")
     rare = base.select("row", F.explode("rare").alias("key")).join(counts.where("kind = 0").select("key", "n"), "key")
     rare = rare.groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 1)).alias("g"))
-    both = base.drop("rare").join(rare, "row", "left")
+    other = base.select("row", F.explode("other").alias("key"))
+    unseen = written(other.select("key").distinct().join(own.select("key"), "key", "left_anti"), "lm-unseen")
+    values = own.select("key", "value").union(fallback_values(counts, unseen))
+    other = other.join(values, "key").groupBy("row").agg(F.sum("value").alias("other_score"))
+    both = base.drop("rare", "other").join(rare, "row", "left").join(other, "row", "left").withColumn("score", F.col("score") + F.coalesce("other_score", F.lit(0.0)))
     known = F.col("known") + F.coalesce("k", F.lit(0)) + F.lit(int(n_train > 0))
     gain = F.col("gain") + F.coalesce("g", F.lit(0.0)) + F.lit(math.log10(n_train + 1))
     return both.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (gain - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))).alias("base_score"), "score")

@@ -143,6 +143,21 @@ def test_scores_by_brute_force(spark, odd, none):
     assert adaptive_scores(odd.where("doc_id IN (1, 4, 11)")).where("score < 0").count() == 3
 
 
+def test_ppm_scores_do_not_depend_on_the_head(spark):
+    """All n-grams count, however few are looked up where the text is read."""
+    texts = ["the cat sat on the mat", "the dog sat", "\u00f1and\u00fa \u00fcber", "", "zzz on the catalogue", "a dog ran over the mat", "\u00fcbergro\u00df", "quite another text 12", "the mats"] * 3
+    docs = [(k, f"{t} {k % 5}" if t else t) for k, t in enumerate(texts)]
+    out = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 7 == 2}
+    slow = AdaptiveTrie()
+    for i, t in docs:
+        if i not in out:
+            slow.code(t.encode(), True)
+    assert out
+    for most in (8, 1 << 19):
+        got = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(docs, "doc_id long, text string"), max_nodes=most).collect()}
+        assert all(math.isclose(got[i], slow.code(t.encode(), False), rel_tol=1e-9) for i, t in docs)
+
+
 # media
 
 
