@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +102,25 @@ def slices(sizes: np.ndarray, limit: int):
         yield first, len(sizes)
 
 
+def whole_groups(frames, keys: list[str]):
+    """One frame per group, of frames sorted by ``keys``; a group may span frames."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        k = frame[keys].to_numpy()
+        if held and (held[-1][keys].iloc[-1].to_numpy() != k[0]).any():
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        cut = (np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist()
+        for a, b in zip([0, *cut], cut):
+            yield pd.concat([*held, frame.iloc[a:b]], ignore_index=True)
+            held = []
+        held.append(frame.iloc[cut[-1] if cut else 0 :])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser (published constants)."""
     x = x.astype(np.uint64, copy=True)

@@ -14,17 +14,20 @@ NODE_BOUND = 1_000_000
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each node's component. ``links``: long columns a, b.
 
-    In each round a node moves to the neighbour that comes first in a random order of that
-    round, if any comes before it; the links between what remains are the next round's input.
-    A constant share of the nodes goes in each round, whatever the shape of the graph.
+    In each round a node moves to its neighbour of the most links (ties by a hash of that round),
+    if that comes before itself; the links between what remains are the next round's input.
+    A star goes in one round, and a constant share of the nodes whatever the shape of the graph.
+    Repeated links and loops count once and not at all, links with a null neither; no links give
+    no rows.
     """
     left = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     n, moves = left.count(), []
     while n:
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(moves))).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
         both = left.select("a", "b").union(left.select("b", "a"))
-        best = both.select("a", rank("b").alias("r")).groupBy("a").agg(F.min("r").alias("r"))
-        move = written(sized(best.select(F.col("a").alias("node"), F.least("r", rank("a"))["n"].alias("to")), n), "moves")
+        degree = written(sized(both.groupBy("a").agg(F.count("*").alias("d")).select(F.col("a").alias("node"), F.struct((-F.col("d")).alias("d"), F.xxhash64("a", F.lit(len(moves))).alias("h"), F.col("a").alias("n")).alias("r")), n), "degrees")
+        near = small(degree, NODE_BOUND)
+        best = both.join(near.toDF("b", "rb"), "b").groupBy("a").agg(F.min("rb").alias("rb")).join(near.toDF("a", "ra"), "a")
+        move = written(sized(best.select(F.col("a").alias("node"), F.least("ra", "rb")["n"].alias("to")), n), "moves")
         moves.append(move)
         near = small(move, NODE_BOUND)
         step = left.join(near.toDF("a", "ta"), "a").join(near.toDF("b", "tb"), "b").where("ta <> tb")
@@ -37,3 +40,14 @@ def components(links: DataFrame) -> DataFrame:
         label = written(sized(label.join(small(move.toDF("to", "next"), NODE_BOUND), "to", "left").select("node", F.coalesce("next", "to").alias("to")), size), "labels")
     least = written(sized(label.groupBy("to").agg(F.min("node").alias("component")), size), "roots")
     return written(sized(label.join(small(least, NODE_BOUND), "to").select("node", "component"), size), "components")
+
+
+def extended(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (of ``components``) after ``links`` between its components, or nodes without a label."""
+    moved = components(links)
+    if moved.isEmpty():
+        return label
+    near = small(moved.toDF("component", "to"), NODE_BOUND)
+    old = label.join(near, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = moved.join(small(label.select("node"), NODE_BOUND), "node", "left_anti")
+    return written(old.union(new), "components")

@@ -1,46 +1,47 @@
 """MinHash near-duplicates with tensored banding.
 
-Two small collections of ``bands`` half keys (each of ``rows`` minimum hashes) are computed
-for a document; its table keys are all pairs of a half key of the first and one of the
-second. ``bands * bands`` tables of ``2 * rows`` hashes thus cost ``2 * bands * rows`` hashes.
-
-Documents with equal shingle sets are first collapsed to one row. In each table bucket the
-member with the most bucket mates is the hub; a member goes to the hub of the highest such
-degree that its signature resembles. No pairs within a bucket are made but those with hubs.
-Pairs tested on the way whose signatures make the threshold plausible, and which no common
-hub covers, are kept too, and each member also tries the hubs that its bucket mates settled
-with: a member may lie between a large hub and a small one. Each (member, hub) pair is confirmed on the full sets, which also gives the member's
-difference from the hub. Members that do not reach the threshold with their hub are
-compared, exactly and in bounded blocks, with the hub's other members: the sizes and the
-overlap of two differences from the same hub give the intersection of the full sets.
+Two small collections of ``BANDS`` half keys (each of ``ROWS`` minimum hashes) are computed for
+a document; its table keys are all pairs of a half key of the first and one of the second.
+``BANDS * BANDS`` tables of ``2 * ROWS`` hashes thus cost ``2 * BANDS * ROWS`` hashes, and only
+half keys that occur twice are combined at all.
+
+Every pair that shares a table bucket is decided, without making all pairs of a bucket:
+
+1. Documents with equal shingle sets are one class.
+2. The member of a bucket with the most mates is its hub. Pairs (member, hub) whose signatures
+   make the threshold plausible are confirmed on the full sets, the best hub of each member
+   first, then the others that are still in another component.
+3. The hub of a bucket is then decided against all its mates. Members of a bucket that still
+   lie in different components are compared with each other, exactly and in bounded blocks, one
+   side being the members outside the hub group's largest component. A block gives at most a
+   spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import mix64, sized, slices, small, stream64, words_of, written
-from chronoweave.llm.components import components
+from chronoweave.llm.common import mix64, sized, slices, small, stream64, whole_groups, words_of, written
+from chronoweave.llm.components import components, extended
 
 PERCENT = 80
+WIDTH = 5
 BANDS, ROWS = 12, 3
-#: Signature agreement from which a member may go to a hub, and that at which it then looks no further.
-RESEMBLES, SETTLED = 0.4, 0.65
-#: Signature agreement from which a tested pair may reach the threshold (0.8 gives less in about 1 of 15,000).
+HASHES = 2 * BANDS * ROWS
+#: Signature agreement from which a pair may reach the threshold (at 0.8 it is less in about 1 of 15,000 pairs).
 PLAUSIBLE = 0.6
-BLOCK = 1024
-ID_BOUND = 2_000_000
-#: Rows of buckets for a task.
-BUCKET_ROWS = 100_000
+#: Members of a side of a block.
+BLOCK = 256
+ID_BOUND = 1_000_000
 
 
-def shingle_sets(texts: list[bytes], n: int = 2) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's ``n``-word shingles; fewer words: the sequence as one."""
+def shingle_sets(texts: list[bytes], n: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's ``n``-word shingles; fewer words: the sequence as one."""
     hashes, counts = words_of(texts)
     m = len(hashes)
     if not m:
@@ -83,134 +84,103 @@ def signatures(sets: list[np.ndarray], n_hashes: int, block: int = 1 << 15) -> n
     return out
 
 
-def features(frames):
-    """Set size, 128-bit set digest, signature and both collections of half keys."""
-    for frame in frames:
-        texts = [x.encode() for x in frame["text"].tolist()]
-        for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 21):
-            ids = frame["doc_id"].to_numpy()[a:b]
-            sets = shingle_sets(texts[a:b])
-            full = np.array([k for k, s in enumerate(sets) if len(s)], np.int64)
-            empty = np.array([k for k, s in enumerate(sets) if not len(s)], np.int64)
-            if len(empty):
-                yield pd.DataFrame({"doc_id": ids[empty], "n": 0, "d1": 0, "d2": 0, "sig": None, "half_a": None, "half_b": None})
-            if not len(full):
-                continue
-            sets = [sets[k] for k in full]
-            joined, sizes = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
-            first = np.cumsum(sizes) - sizes
-            digest = [np.add.reduceat(mix64(joined ^ np.uint64(s)), first).view(np.int64) for s in (0x243F6A8885A308D3, 0x13198A2E03707344)]
-            sig = signatures(sets, 2 * BANDS * ROWS)
-            half = np.zeros((len(sets), 2 * BANDS), np.uint64) + np.arange(1, 2 * BANDS + 1, dtype=np.uint64)
-            for r in range(ROWS):
-                half = mix64(half * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
-            half = half.view(np.int64)
-            yield pd.DataFrame({"doc_id": ids[full], "n": sizes, "d1": digest[0], "d2": digest[1], "sig": [x.tobytes() for x in sig], "half_a": list(half[:, :BANDS]), "half_b": list(half[:, BANDS:])})
-
-
-def agreement(frames):
-    """Share of equal signature entries of each pair."""
+def features(width: int) -> Callable:
+    """Set size, 128-bit set digest, signature and both collections of half keys of each text."""
+
+    def body(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = [x.encode() for x in frame["text"].tolist()]
+            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 21):
+                ids, tags = frame["doc_id"].to_numpy()[a:b], frame["tag"].to_numpy()[a:b]
+                sets = shingle_sets(texts[a:b], width)
+                full = np.array([k for k, s in enumerate(sets) if len(s)], np.int64)
+                empty = np.array([k for k, s in enumerate(sets) if not len(s)], np.int64)
+                if len(empty):
+                    yield pd.DataFrame({"doc_id": ids[empty], "tag": tags[empty], "n": 0, "d1": 0, "d2": 0, "sig": None, "half_a": None, "half_b": None})
+                if not len(full):
+                    continue
+                sets = [sets[k] for k in full]
+                joined, sizes = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+                first = np.cumsum(sizes) - sizes
+                digest = [np.add.reduceat(mix64(joined ^ np.uint64(s)), first).view(np.int64) for s in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+                sig = signatures(sets, HASHES)
+                half = np.zeros((len(sets), 2 * BANDS), np.uint64) + np.arange(1, 2 * BANDS + 1, dtype=np.uint64)
+                for r in range(ROWS):
+                    half = mix64(half * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
+                half = half.view(np.int64)
+                yield pd.DataFrame({
+                    "doc_id": ids[full], "tag": tags[full], "n": sizes, "d1": digest[0], "d2": digest[1], "sig": [x.tobytes() for x in sig],
+                    "half_a": list(half[:, :BANDS]), "half_b": list(half[:, BANDS:]),
+                })
+
+    return body
+
+
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(key, rep, hub, hub_degree, c): the members of table buckets of two or more (``c``), and the bucket's hub.
+
+    Counts and hubs are combinable aggregates joined back by key, so that Spark can split the
+    join of a hot key; a window over the bucket could not be split.
+    """
+    slots = classes.select("rep", F.posexplode(F.concat("half_a", "half_b")).alias("slot", "half"))
+    counts = slots.groupBy("half").agg(F.count("*").alias("mates")).where("mates > 1")
+    side = lambda test: F.collect_list(F.when(test, F.col("half")))  # noqa: E731  at most BANDS values
+    mine = slots.join(counts, "half").groupBy("rep").agg(side(F.col("slot") < BANDS).alias("a"), side(F.col("slot") >= BANDS).alias("b"), F.sum(F.col("mates") - 1).alias("degree"))
+    tables = mine.where("size(a) > 0 AND size(b) > 0").select("rep", "degree", "b", F.explode("a").alias("a")).select("rep", "degree", "a", F.explode("b").alias("b"))
+    tables = written(tables.select(F.xxhash64("a", "b").alias("key"), "rep", "degree"), "tables")
+    top = F.max(F.struct("degree", (-F.col("rep")).alias("minus")))
+    heads = tables.groupBy("key").agg(F.count("*").alias("c"), top.alias("top")).where("c > 1").select("key", "c", (-F.col("top.minus")).alias("hub"), F.col("top.degree").alias("hub_degree"))
+    return tables.join(heads, "key").select("key", "rep", "hub", "hub_degree", "c")
+
+
+def agreement(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose signatures agree enough for the threshold to be plausible."""
     for frame in frames:
-        a, b = (np.frombuffer(b"".join(frame.pop(c)), np.uint32).reshape(-1, 2 * BANDS * ROWS) for c in ("sig", "hub_sig"))
-        frame["alike"] = (a == b).mean(1)
-        yield frame[["rep", "hub", "hub_degree", "alike"]]
+        a, b = (np.frombuffer(b"".join(frame.pop(c)), np.uint32).reshape(-1, HASHES) for c in ("sig", "hub_sig"))
+        yield frame[(a == b).mean(1) >= PLAUSIBLE][["rep", "hub", "hub_degree"]]
 
 
-def with_agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (rep, hub, hub_degree) that are alike enough to be examined."""
-    sig = reps.select("rep", "sig")
-    both = pairs.join(sig, "rep").join(sig.toDF("hub", "hub_sig"), "hub").select("rep", "hub", "hub_degree", "sig", "hub_sig")
-    return both.mapInPandas(agreement, "rep long, hub long, hub_degree long, alike double").where(F.col("alike") >= RESEMBLES)
+def confirm(width: int) -> Callable:
+    """Pairs whose full sets reach the threshold."""
 
+    def body(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts, hubs = frame["text"].tolist(), frame["hub_text"].tolist()
+            known: dict[str, np.ndarray] = {}
+            for a, b in slices(np.fromiter((len(x) + len(y) for x, y in zip(texts, hubs)), np.int64, len(texts)), 1 << 21):
+                need = set(texts[a:b] + hubs[a:b])
+                new = sorted(need - known.keys())
+                known = {x: known[x] for x in need if x in known} | dict(zip(new, shingle_sets([x.encode() for x in new], width)))
+                linked = []
+                for x, y in zip(texts[a:b], hubs[a:b]):
+                    s, t = known[x], known[y]
+                    both = int(np.count_nonzero(t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s))
+                    linked.append(100 * both >= PERCENT * (len(s) + len(t) - both))
+                yield frame.iloc[a:b][linked][["rep", "hub"]]
 
-def elect(multi: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, hub, hub_degree, alike): the hubs that each document goes to, and all tested pairs that are ``PLAUSIBLE``.
+    return body
 
-    A round tests the members of a bucket against its first 1, 4, 16 ... members by degree;
-    documents that settle, and those members, leave. Rounds end when no bucket has two left.
-    """
-    rows, width, found, close = multi, 1, [], []
-    n = multi.count()
-    order = Window.partitionBy("key").orderBy(F.desc("degree"), "rep")
-    while True:
-        ranked = rows.withColumn("rank", F.row_number().over(order))
-        if width == 1:
-            head = F.first(F.struct("rep", "degree")).over(order)
-            pairs = ranked.withColumn("h", head).where("rank > 1").select("rep", F.col("h.rep").alias("hub"), F.col("h.degree").alias("hub_degree"))
-        else:
-            heads = ranked.where(F.col("rank") <= width).select("key", F.col("rep").alias("hub"), F.col("degree").alias("hub_degree"), F.col("rank").alias("hub_rank"))
-            pairs = ranked.join(heads, "key").where("rank > hub_rank").select("rep", "hub", "hub_degree")
-        got = with_agreement(pairs.groupBy("rep", "hub").agg(F.max("hub_degree").alias("hub_degree")), reps)
-        got = written(sized(got, n, BUCKET_ROWS), "tested")
-        close.append(got.where(F.col("alike") >= PLAUSIBLE).select("rep", "hub"))
-        best = got.groupBy("rep").agg(F.max(F.struct("hub_degree", (-F.col("hub")).alias("minus"), "alike")).alias("m"))
-        got = written(sized(best, n, BUCKET_ROWS).select("rep", (-F.col("m.minus")).alias("hub"), F.col("m.hub_degree").alias("hub_degree"), F.col("m.alike").alias("alike")), "hubs")
-        found.append(got)
-        settled = got.where(F.col("alike") >= SETTLED).select("rep")
-        rest = ranked.where(F.col("rank") > width).join(small(settled, ID_BOUND), "rep", "left_anti").select("key", "rep", "degree")
-        rest = rest.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").drop("c")
-        rows, width = written(sized(rest, n, BUCKET_ROWS), "buckets"), 4 * width
-        n = rows.count()
-        if not n:
-            break
-    return reduce(DataFrame.union, found), reduce(DataFrame.union, close)
-
-
-def harmonise(multi: DataFrame, hubs: DataFrame, reps: DataFrame) -> DataFrame:
-    """More (rep, hub) rows: each member of a bucket also tries the best hub of its bucket mates, and all that they settled with."""
-    own = hubs.groupBy("rep").agg(F.max(F.struct("hub_degree", (-F.col("hub")).alias("minus"))).alias("m"))
-    self_hub = F.struct(F.col("degree").alias("hub_degree"), (-F.col("rep")).alias("minus"))
-    rows = multi.join(own, "rep", "left").withColumn("m", F.greatest(F.coalesce("m", self_hub), self_hub))
-    top = rows.groupBy("key").agg(F.max("m").alias("t")).select("key", (-F.col("t.minus")).alias("hub"), F.col("t.hub_degree").alias("hub_degree"))
-    settled = hubs.where(F.col("alike") >= SETTLED).select("rep", "hub", "hub_degree")
-    tried = top.union(multi.join(settled, "rep").select("key", "hub", "hub_degree")).distinct()
-    pairs = multi.join(tried, "key").where("rep <> hub").groupBy("rep", "hub").agg(F.max("hub_degree").alias("hub_degree"))
-    return with_agreement(pairs.join(hubs.select("rep", "hub"), ["rep", "hub"], "left_anti"), reps)
-
-
-def uncovered(close: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of ``close`` without a common hub; those with one are compared among its members."""
-    via = pairs.union(pairs.select("rep", F.col("rep").alias("hub"))).union(pairs.select("hub", "hub")).distinct()
-    covered = close.join(via.toDF("rep", "via"), "rep").join(via.toDF("hub", "via"), ["hub", "via"]).select("rep", "hub")
-    return close.join(covered, ["rep", "hub"], "left_anti").distinct()
-
-
-def confirm(frames):
-    """Exact sizes, intersection and symmetric difference of each pair's full sets."""
-    for frame in frames:
-        texts, hubs = frame["text"].tolist(), frame["hub_text"].tolist()
-        known: dict[str, np.ndarray] = {}
-        for a, b in slices(np.fromiter((len(x) + len(y) for x, y in zip(texts, hubs)), np.int64, len(texts)), 1 << 21):
-            need = set(texts[a:b] + hubs[a:b])
-            new = sorted(need - known.keys())
-            known = {x: known[x] for x in need if x in known} | dict(zip(new, shingle_sets([x.encode() for x in new])))
-            out = []
-            for x, y in zip(texts[a:b], hubs[a:b]):
-                s, t = known[x], known[y]
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                common = t[at] == s
-                mine = np.ones(len(t), bool)
-                mine[at[common]] = False
-                out.append((len(s), len(t), int(common.sum()), np.concatenate((s[~common], t[mine])).tobytes()))
-            n, m, both, diff = zip(*out)
-            yield pd.DataFrame({"rep": frame["rep"].iloc[a:b].to_numpy(), "hub": frame["hub"].iloc[a:b].to_numpy(), "n": n, "hub_n": m, "both": both, "diff": diff})
-
-
-def rest_links(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of one block: unlinked members (side R) against members (side V) of one hub.
-
-    Of two sets with differences D, E from the same hub, the symmetric difference has
-    ``|D| + |E| - 2 |D and E|`` elements; the sizes then give the intersection.
+
+def block_links(group: pd.DataFrame, width: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of one block, as pairs of components: side R against side V.
+
+    Sets are held as their differences from the elements that most of side V has. The symmetric
+    difference of two sets is that of their differences, ``|D| + |E| - 2 |D and E|``, and the
+    sizes then give the intersection.
     """
-    group = group.sort_values(["side", "rep"])
-    v, r = group[group["side"] == "V"], group[group["side"] == "R"]
-    hub = int(group["hub"].iloc[0])
-    diffs = [np.frombuffer(x, np.uint64) for x in v["diff"]]
-    sizes = np.fromiter(map(len, diffs), np.int64, len(diffs))
-    order = np.argsort(np.concatenate(diffs), kind="stable") if len(diffs) else np.zeros(0, np.int64)
-    value = np.concatenate(diffs)[order] if len(diffs) else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(v)), sizes)[order]
-    reps, n, linked = v["rep"].to_numpy(), v["n"].to_numpy(), v["linked"].to_numpy()
+    side = group["side"].to_numpy()
+    sets = shingle_sets([x.encode() for x in group["text"]], width)
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, HASHES)
+    comp = group["comp"].to_numpy()
+    v, r = np.flatnonzero(side == "V"), np.flatnonzero(side == "R")
+    if not len(v) or not len(r):
+        return []
+    value, count = np.unique(np.concatenate([sets[k] for k in v]), return_counts=True)
+    common = value[2 * count > len(v)]
+    diffs = [np.setxor1d(sets[k], common, assume_unique=True) for k in v]
+    n, apart_v = np.array([len(sets[k]) for k in v]), np.array([len(x) for x in diffs])
+    order = np.argsort(np.concatenate(diffs), kind="stable")
+    value, owner = np.concatenate(diffs)[order], np.repeat(np.arange(len(v)), apart_v)[order]
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -218,69 +188,124 @@ def rest_links(group: pd.DataFrame) -> pd.DataFrame:
             root[x] = x = root.get(root[x], root[x])
         return x
 
-    out = []
-    for rep, size, blob in zip(r["rep"].tolist(), r["n"].tolist(), r["diff"]):
-        d = np.frombuffer(blob, np.uint64)
+    out, sig_v, comp_v = [], sig[v], comp[v]
+    for k in r.tolist():
+        plausible = ((sig_v == sig[k]).mean(1) >= PLAUSIBLE) & (comp_v != comp[k])
+        if not plausible.any():
+            continue
+        d = np.setxor1d(sets[k], common, assume_unique=True)
         lo, hi = np.searchsorted(value, d), np.searchsorted(value, d, side="right")
         spans = [owner[x:y] for x, y in zip(lo.tolist(), hi.tolist()) if y > x]
         shared = np.bincount(np.concatenate(spans), minlength=len(v)) if spans else np.zeros(len(v), np.int64)
-        apart = len(d) + sizes - 2 * shared
-        both = (size + n - apart) // 2
-        for k in np.flatnonzero((100 * both >= PERCENT * (both + apart)) & (reps != rep)).tolist():
-            a, b = top(rep), top(hub if linked[k] else int(reps[k]))
+        apart = len(d) + apart_v - 2 * shared
+        both = (len(sets[k]) + n - apart) // 2
+        for j in np.flatnonzero(plausible & (100 * both >= PERCENT * (both + apart))).tolist():
+            a, b = top(int(comp[k])), top(int(comp_v[j]))
             if a != b:
                 root[max(a, b)] = min(a, b)
-                out.append((rep, hub if linked[k] else int(reps[k])))
-    return pd.DataFrame(out, columns=["a", "b"])
+                out.append((int(comp[k]), int(comp_v[j])))
+    return out
 
 
-def residual_links(pairs: DataFrame) -> DataFrame:
-    """Links between members of a hub of which one at least is not linked with the hub."""
-    per_hub = pairs.groupBy("hub").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("rest")).where("rest > 0 AND members > 1")
-    both = pairs.join(small(written(per_hub, "hub-sizes"), ID_BOUND), "hub").select("hub", "rep", "n", "diff", "linked", F.ceil(F.col("members") / BLOCK).cast("int").alias("nv"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("nr"))
+def residual(width: int) -> Callable:
+    """``block_links`` of all blocks of a partition sorted by block."""
+
+    def body(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in whole_groups(frames, ["hub", "bv", "br"]):
+            yield pd.DataFrame(block_links(group, width), columns=["a", "b"], dtype=np.int64)
+
+    return body
+
+
+def with_component(rows: DataFrame, label: DataFrame, col: str, name: str) -> DataFrame:
+    """``rows`` with the component of ``col``; without a label it is its own."""
+    return rows.join(small(label.toDF(col, name), ID_BOUND), col, "left").withColumn(name, F.coalesce(name, col))
+
+
+def class_components(rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(node, component) of the classes that are linked with others."""
+    buckets = written(shared_buckets(classes), "buckets")
+    sig = classes.select("rep", "sig")
+    pairs = buckets.where("rep <> hub").select("rep", "hub", "hub_degree").distinct()
+    both = pairs.join(sig, "rep").join(sig.toDF("hub", "hub_sig"), "hub").select("rep", "hub", "hub_degree", "sig", "hub_sig")
+    star = written(both.mapInPandas(agreement, "rep long, hub long, hub_degree long"), "star")
+
+    def texts_of(reps: DataFrame) -> DataFrame:
+        need = written(classes.join(small(written(reps.distinct(), "needed"), ID_BOUND), "rep", "left_semi").select("rep", F.col("low").alias("doc_id"), "tag"), "needed")
+        return written(rows.join(small(need, ID_BOUND), ["doc_id", "tag"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
+
+    texts = texts_of(star.select("rep").union(star.select("hub")))
+
+    def links_of(some: DataFrame) -> DataFrame:
+        beside = some.join(texts, "rep").join(texts.toDF("hub", "hub_text"), "hub").select("rep", "hub", "text", "hub_text")
+        return written(beside.mapInPandas(confirm(width), "rep long, hub long").toDF("a", "b"), "links")
+
+    best = star.groupBy("rep").agg(F.max(F.struct("hub_degree", (-F.col("hub")).alias("minus"))).alias("m")).select("rep", (-F.col("m.minus")).alias("hub"))
+    best = written(best, "best")
+    label = components(links_of(best))
+    left = star.select("rep", "hub").join(best, ["rep", "hub"], "left_anti")
+    left = with_component(with_component(left, label, "rep", "cr"), label, "hub", "ch").where("cr <> ch")
+    left = written(left, "open")
+    found = links_of(left.select("rep", "hub")).toDF("rep", "hub").join(left, ["rep", "hub"]).select(F.col("cr").alias("a"), F.col("ch").alias("b"))
+    label = extended(label, found)
+
+    # hubs are decided; the other members of a bucket may still lie in several components
+    others = with_component(buckets.where("rep <> hub AND c > 2").select("key", "hub", "rep"), label, "rep", "comp")
+    mixed = others.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
+    rest = written(others.join(mixed, "key", "left_semi").select("hub", "rep", "comp").distinct(), "rest")
+    per_comp = rest.groupBy("hub", "comp").agg(F.count("*").alias("m"))
+    stats = per_comp.groupBy("hub").agg(F.sum("m").alias("members"), F.max(F.struct("m", (-F.col("comp")).alias("minus"))).alias("main"))
+    stats = stats.select("hub", (-F.col("main.minus")).alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("nv"), F.ceil((F.col("members") - F.col("main.m")) / BLOCK).cast("int").alias("nr")).where("nr > 0")
+    texts = texts_of(rest.select("rep"))
+    full = rest.join(small(written(stats, "stats"), ID_BOUND), "hub").join(texts, "rep").join(sig, "rep")
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    v = both.select("hub", "rep", "n", "diff", "linked", F.lit("V").alias("side"), mine("nv").alias("bv"), all_of("nr").alias("br"))
-    r = both.where(~F.col("linked")).select("hub", "rep", "n", "diff", "linked", F.lit("R").alias("side"), all_of("nv").alias("bv"), mine("nr").alias("br"))
-    return v.union(r).groupBy("hub", "bv", "br").applyInPandas(rest_links, "a long, b long")
+    v = full.select("hub", "rep", "comp", "sig", "text", F.lit("V").alias("side"), mine("nv").alias("bv"), all_of("nr").alias("br"))
+    r = full.where("comp <> main").select("hub", "rep", "comp", "sig", "text", F.lit("R").alias("side"), all_of("nv").alias("bv"), mine("nr").alias("br"))
+    blocks = v.union(r).repartition("hub", "bv", "br").sortWithinPartitions("hub", "bv", "br", "side", "rep")
+    return extended(label, blocks.mapInPandas(residual(width), "a long, b long"))
+
+
+def near_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, tag, n, component_id) of each row; ``tag`` is a hash of its text."""
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
+    rows = every.where("doc_id IS NOT NULL")
+    feats = written(rows.mapInPandas(features(width), "doc_id long, tag long, n long, d1 long, d2 long, sig binary, half_a array<long>, half_b array<long>"), "features")
+    first = [F.first(c).alias(c) for c in ("sig", "half_a", "half_b")]
+    classes = feats.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tag")).alias("least"), F.count("*").alias("rows"), *first)
+    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", F.col("least.doc_id").alias("low"), F.col("least.tag").alias("tag"), "rows", "sig", "half_a", "half_b"), "classes")
+    label = written(class_components(rows, classes, width), "labels")
+    named = classes.select("rep", "d1", "d2", "low", "rows").join(small(label.toDF("rep", "component"), ID_BOUND), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # rows of a class of their own need no look-up
+    named = written(named.where(F.col("rows") > 1).unionByName(named.where("rows = 1").join(small(label.select(F.col("node").alias("rep")), ID_BOUND), "rep", "left_semi")), "named")
+    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    answer = written(named.join(least, "component").select("d1", "d2", "component_id"), "answer")
+    out = feats.select("doc_id", "tag", "n", "d1", "d2").join(small(answer, ID_BOUND // 2), ["d1", "d2"], "left")
+    out = out.select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    nothing = F.lit(None).cast("long")
+    return out.union(every.where("doc_id IS NULL").select("doc_id", "tag", nothing.alias("n"), nothing.alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """Components of documents linked by ``width``-word shingle sets of similarity 0.8 or more.
+
+    Returns doc_id, n_shingles, component_id, kept, one row per row. Null, empty and blank texts
+    have an empty set and are linked with nothing. Rows with the same id are judged each by its
+    own text. Equal sets are one class (by a 128-bit digest of 64-bit shingle hashes); ties in
+    degree go to the smaller class number. Very long texts are taken whole. A row without an id
+    is linked with nothing, and its results are null. Other columns are ignored; no rows give
+    no rows.
+    """
+    rows = near_rows(docs, id_col, text_col, width)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of documents linked by 2-word shingle sets of similarity 0.8 or more.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id, and rows without an id.
 
-    Returns doc_id, n_shingles, component_id, kept. Null, empty and blank texts have an empty
-    set and are linked with nothing. Rows with the same id are copies of one document and all
-    get its result. Equal sets are one class; ties in degree go to the smaller id. Other
-    columns are ignored; no rows give no rows.
+    Columns may have any names and are passed on. Rows with the same id and text stay or go
+    together; otherwise as ``near_duplicates``.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    feats = written(rows.mapInPandas(features, "doc_id long, n long, d1 long, d2 long, sig binary, half_a array<long>, half_b array<long>"), "features")
-    first = [F.first(c).alias(c) for c in ("n", "sig", "half_a", "half_b")]
-    reps = written(feats.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *first), "classes")
-
-    keys = reps.select("rep", "half_b", F.explode("half_a").alias("a")).select("rep", "a", F.explode("half_b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "rep")
-    shared = keys.withColumn("mates", F.count("*").over(Window.partitionBy("key")) - 1).where("mates > 0")
-    multi = written(shared.withColumn("degree", F.sum("mates").over(Window.partitionBy("rep"))).drop("mates"), "buckets")
-    hubs, close = elect(multi, reps)
-    hubs = written(hubs, "hubs")
-    listed = written(hubs.select("rep", "hub").union(harmonise(multi, hubs, reps).select("rep", "hub")).distinct(), "listed")
-    pairs = written(listed.union(uncovered(close, listed)), "pairs")
-
-    ids = written(pairs.select("rep").union(pairs.select("hub")).distinct().toDF("doc_id"), "ids")
-    texts = written(rows.join(small(ids, ID_BOUND), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    both = pairs.join(texts.toDF("rep", "text"), "rep").join(texts.toDF("hub", "hub_text"), "hub").select("rep", "hub", "text", "hub_text")
-    exact = both.mapInPandas(confirm, "rep long, hub long, n long, hub_n long, both long, diff binary")
-    exact = written(exact.withColumn("linked", F.expr(f"100 * both >= {PERCENT} * (n + hub_n - both)")), "confirmed")
-    links = exact.where("linked").select(F.col("rep").alias("a"), F.col("hub").alias("b")).union(residual_links(exact))
-    label = components(links)
-
-    classes = reps.select("d1", "d2", "rep").join(label.toDF("rep", "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = feats.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id."""
-    gone = written(near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_cw_gone")).distinct(), "dropped")
-    return docs.join(small(gone, ID_BOUND), F.col(id_col) == F.col("_cw_gone"), "left_anti")
+    gone = written(near_rows(docs, id_col, text_col, width).where("doc_id <> component_id").select("doc_id", "tag").distinct(), "dropped")
+    mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), F.struct("*").alias("row"))
+    return mine.join(small(gone, ID_BOUND), ["doc_id", "tag"], "left_anti").select("row.*")

@@ -61,7 +61,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweave.llm.near_dup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)  # the contract's two words
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,13 +17,13 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, width=2):
     w = WORD.findall((text or "").translate(LOWER))
-    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*(w[k:] for k in range(width)))) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows):
-    sets = {i: shingles(t) for i, t in rows}
+def brute_components(rows, width=2):
+    sets = {i: shingles(t, width) for i, t in rows}
     root = {i: i for i in sets}
 
     def top(x):
@@ -88,12 +88,81 @@ def make_near(seed=4):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 16])
+def components_of(spark, rows, **more):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **more).collect()}
+
+
+@pytest.mark.parametrize("block", [256, 16])
 def test_near_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     rows = make_near()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_components(rows)
+    assert components_of(spark, rows, width=2) == brute_components(rows)
+
+
+def test_near_with_five_words(spark):
+    rows = make_near(11)
+    assert components_of(spark, rows) == brute_components(rows, 5)
+
+
+def altered(rnd, words, n):
+    cut = set(rnd.sample(range(len(words)), n))
+    return [f"v{rnd.randrange(10**9)}" if k in cut else w for k, w in enumerate(words)]
+
+
+def drifting(rnd):
+    """Six chains: each copy alters 4 of the 120 words of the one before."""
+    for c in range(6):
+        words = [f"c{c}w{rnd.randrange(10**6)}" for _ in range(120)]
+        for _ in range(131):
+            yield words
+            words = altered(rnd, words, 4)
+
+
+def branching(rnd):
+    """Each copy alters 5 words, just above the threshold, of any earlier copy."""
+    for c in range(6):
+        family = [[f"c{c}w{rnd.randrange(10**6)}" for _ in range(120)]]
+        for _ in range(129):
+            family.append(altered(rnd, rnd.choice(family), 5))
+        yield from family
+
+
+def linked_at_random(rnd):
+    """Texts that keep a template and draw from a small stock: similarities from 0.5 to 0.9."""
+    for c in range(3):
+        template = [f"t{c}x{k}" for k in range(100)]
+        stock = [[f"s{c}y{k}z{j}" for j in range(3)] for k in range(100)]
+        for _ in range(150):
+            yield [rnd.choice(stock[k]) if rnd.random() < 0.14 else w for k, w in enumerate(template)]
+
+
+@pytest.mark.parametrize("shape", [drifting, branching, linked_at_random])
+@pytest.mark.parametrize("block", [256, 16])
+def test_near_in_chains_trees_and_random_graphs(spark, monkeypatch, shape, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rnd = random.Random(3)
+    texts = [" ".join(x) for x in shape(rnd)]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert components_of(spark, rows, width=2) == brute_components(rows)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity of 0.80 to 0.82, each on its own: at least 0.99 are found."""
+    rnd, rows = random.Random(21), []
+    for c in range(1500):
+        words = [f"p{c}w{k}" for k in range(110)]
+        at = range(rnd.randrange(9), 110, 19)  # six words apart, each of which changes two shingles
+        rows += [(2 * c, " ".join(words)), (2 * c + 1, " ".join(f"q{k}" if k in at else w for k, w in enumerate(words)))]
+    want, got = brute_pairs(rows), components_of(spark, rows, width=2)
+    assert len(want) > 1400
+    assert sum(got[a][1] == got[b][1] for a, b in want) >= 0.99 * len(want)
+
+
+def brute_pairs(rows):
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(k, k + 1) for k in range(0, len(rows), 2)]
+    return [(a, b) for a, b in pairs if 80 <= 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 83]
 
 
 def test_near_between_a_large_and_a_small_hub(spark):
@@ -111,24 +180,30 @@ def test_near_between_a_large_and_a_small_hub(spark):
         rows += [(" ".join(b[: len(b) - 7 - j] + take(7 + j)),) for j in range(5)]  # beside B, too far from C
     rnd.shuffle(rows)
     rows = [(n, x) for n, (x,) in enumerate(rows)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_components(rows)
+    assert components_of(spark, rows, width=2) == brute_components(rows)
 
 
 def test_near_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "ID_BOUND", 0)
     rows = make_near(9)[:60]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_components(rows)
+    assert components_of(spark, rows, width=2) == brute_components(rows)
 
 
 def test_near_odd_rows(spark, odd, none):
-    got = near_duplicates(odd).collect()
+    got = near_duplicates(odd, width=2).collect()
     want = brute_components({(r.doc_id, r.text) for r in odd.collect()})
     assert len(got) == odd.count()
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
     assert drop_near_duplicates(odd).columns == odd.columns
-    assert near_duplicates(none).count() == 0
+    assert near_duplicates(none).count() == 0 and drop_near_duplicates(none).count() == 0
+
+
+def test_near_null_ids_and_one_id_with_two_texts(spark):
+    far, near = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    docs = spark.createDataFrame([(None, far), (None, far), (1, near), (1, far), (2, far), (3, near + " more")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id or 0) for r in near_duplicates(docs).collect()))
+    assert got == [(0, 0), (0, 0), (1, 1), (1, 1), (2, 1), (3, 1)]
+    assert sorted((r.doc_id or 0) for r in drop_near_duplicates(docs).collect()) == [0, 0, 1, 1]
 
 
 def test_signatures_estimate_similarity():
