@@ -13,12 +13,11 @@ import unicodedata
 
 import numpy as np
 
-from chronoweave.llm.common import HashIndex, run_hashes, slices
+from chronoweave.llm.common import HashIndex, claim, run_hashes, slices
 
 LETTER, NUMBER, SPACE, OTHER, UNSAFE = range(5)
 #: What the published byte-level pattern splits off after an apostrophe (fixed values).
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
-_ENCODERS: dict[str, "Encoder"] = {}
 _CLASSES: list[np.ndarray] = []
 
 
@@ -48,15 +47,13 @@ def byte_alphabet() -> dict[str, int]:
 
 def encoder(path: str) -> "Encoder":
     """The encoder of this vocabulary file, one per process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return claim(f"bpe-{path}", lambda: Encoder(path))
 
 
 class Encoder:
     """Ids of a byte-level BPE vocabulary, and the places where two encodings may be joined."""
 
-    def __init__(self, path: str, memo_limit: int = 1_000_000, block_chars: int = 1 << 20):
+    def __init__(self, path: str, memo_limit: int = 250_000, block_chars: int = 1 << 20):
         import tiktoken
         from tokenizers import Tokenizer
 

@@ -6,6 +6,7 @@ Parquet, so a lost executor only costs the tasks it ran.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -49,13 +50,25 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and is computed once."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Fewer rows in each batch that Python gets, for queries that run inside and have large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint if the (already written) table has at most ``max_rows`` rows.
 
@@ -102,6 +115,37 @@ def slices(sizes: np.ndarray, limit: int):
         yield first, len(sizes)
 
 
+_CLAIMED: dict[str, object] = {}
+
+
+def claim(owner: str, build: Callable | None = None):
+    """What ``build`` made for ``owner`` in this Python process, made once.
+
+    Workers are used again by later operators: at another owner's first call the memory of the
+    one before is given back to the system, caches of the libraries included.
+    """
+    if owner not in _CLAIMED:
+        _CLAIMED.clear()
+        give_back()
+        _CLAIMED[owner] = build() if build else None
+    return _CLAIMED[owner]
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def whole_groups(frames, keys: list[str]):
     """One frame per group, of frames sorted by ``keys``; a group may span frames."""
     held: list[pd.DataFrame] = []
