@@ -27,25 +27,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import HashIndex, ascii_lower, mix64, remainder, slices, words_of, written
+from chronoweave.llm.common import HashIndex, ascii_lower, claim, mix64, remainder, slices, words_of, written
 
 ORDER = 5
 HEAD_WORDS = 100_000
 MAX_NODES = 1 << 19
-_MASKS = [np.uint64((1 << 8 * k) - 1) for k in range(1, 8)]
+#: Bits of a symbol: 0 before a text's first byte, 1 to 256 for its bytes, ``END`` after its last.
+BITS, END = 9, 257
+SYMBOLS = 257  # that can be coded: all bytes and the end
+#: Distinct n-grams that a task holds before it passes their counts on.
+HELD = 1 << 20
+_MASKS = [np.uint64((1 << BITS * k) - 1) for k in range(1, 8)]
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of ``order`` bytes of context and one symbol, of the texts each ended by a zero byte."""
+    """Codes of ``order`` symbols of context and one symbol, of the texts each followed by its end."""
     pad = b"\0" * order
     data = np.frombuffer(b"".join(itertools.chain.from_iterable((pad, x, b"\0") for x in texts)), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    past = np.cumsum(sizes + order)
+    data += np.uint64(1)
+    data[(past - sizes - order)[:, None] + np.arange(order)] = 0
+    data[past - 1] = END
     code, n = data[order:].copy(), len(data) - order
     for k in range(order):
-        code |= data[k : k + n] << np.uint64(8 * (order - k))
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        code |= data[k : k + n] << np.uint64(BITS * (order - k))
     keep = np.ones(len(code), bool)
-    joint = np.cumsum(sizes + order)[:-1] - order
-    keep[(joint[:, None] + np.arange(order)).ravel()] = False
+    keep[((past[:-1] - order)[:, None] + np.arange(order)).ravel()] = False
     return code[keep], sizes
 
 
@@ -67,7 +75,7 @@ class Trie:
             code, at = np.unique(codes & _MASKS[k], return_inverse=True)
             table.append((code, np.bincount(at, counts, len(code))))
         for k, (code, n) in enumerate(table):
-            node, at = np.unique(code >> np.uint64(8), return_inverse=True)
+            node, at = np.unique(code >> np.uint64(BITS), return_inverse=True)
             total, kinds = np.bincount(at, n, len(node)), np.bincount(at, minlength=len(node))
             self.grams.append(self._index(code))
             self.nodes.append(self._index(node))
@@ -86,7 +94,7 @@ class Trie:
             self.total_after.append(after)
             self.escape_after.append(escape)
             short_node, short_total, short_kinds = node, total, kinds
-        self.last = -math.log10(max(1, 256 - len(table[0][0])))
+        self.last = -math.log10(max(1, SYMBOLS - len(table[0][0])))
 
     @staticmethod
     def _index(codes: np.ndarray) -> HashIndex:
@@ -111,7 +119,7 @@ class Trie:
         child = np.full(len(rest), -1, np.int64)  # node of the next longer context, if it was seen
         for k in range(order, -1, -1):
             short = code & _MASKS[k]
-            gram, node = self._find(self.grams[k], short), self._find(self.nodes[k], short >> np.uint64(8))
+            gram, node = self._find(self.grams[k], short), self._find(self.nodes[k], short >> np.uint64(BITS))
             fresh = ~done & (child < 0)
             hit = fresh & (gram >= 0)
             value[hit] += self.own[k][gram[hit]]
@@ -142,7 +150,8 @@ class AdaptiveTrie:
     def __init__(self, order: int = ORDER):
         self.order, self.seen = order, defaultdict(lambda: defaultdict(int))
 
-    def log10(self, context: bytes, symbol: int) -> float:
+    def log10(self, context: tuple[int, ...], symbol: int) -> float:
+        """log10 probability of a symbol after ``order`` symbols, as numbered in ``grams``."""
         value, excluded = 0.0, set()
         for k in range(self.order, -1, -1):
             seen = self.seen.get(context[len(context) - k :])
@@ -155,11 +164,11 @@ class AdaptiveTrie:
                     return value + math.log10(left[symbol] / total)
                 value += math.log10(len(left) / total)
             excluded |= seen.keys()
-        return value - math.log10(max(1, 256 - len(excluded)))
+        return value - math.log10(max(1, SYMBOLS - len(excluded)))
 
     def code(self, text: bytes, learn: bool) -> float:
         """log10 probability of the text and its end; with ``learn`` each byte is added after it is coded."""
-        data, value = b"\0" * self.order + text + b"\0", 0.0
+        data, value = (*[0] * self.order, *(b + 1 for b in text), END), 0.0
         for k in range(self.order, len(data)):
             context = data[k - self.order : k]
             value += self.log10(context, data[k])
@@ -180,20 +189,41 @@ def adaptive_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInPandas(body, "doc_id long, score double")
 
 
+class Counter:
+    """Counts of 64-bit keys, merged array by array."""
+
+    def __init__(self) -> None:
+        self.key, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        new, n = np.unique(keys, return_counts=True)
+        self.key, at = np.unique(np.concatenate((self.key, new)), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate((self.n, n)), len(self.key)).astype(np.int64)
+
+
 def count_corpus(frames):
     """(kind, key, n): words of training texts (kind 0), byte n-grams (1), training documents and ends (2)."""
-    _MODEL.clear()  # of an earlier job in this worker
+    claim("ppm-count")
+    words, codes, n_texts = Counter(), Counter(), 0
+
+    def counts():
+        kind = np.repeat(np.array([0, 1, 2], np.int8), [len(words.key), len(codes.key), 1])
+        key = np.concatenate((words.key.view(np.int64), codes.key.view(np.int64), [0]))
+        n = np.concatenate((words.n, codes.n, [n_texts]))
+        for a in range(0, len(key), 1 << 18):
+            yield pd.DataFrame({"kind": kind[a : a + (1 << 18)], "key": key[a : a + (1 << 18)], "n": n[a : a + (1 << 18)]})
+
     for frame in frames:
-        every = [x.encode() for x in frame["text"].tolist()]
-        for first, past in blocks(every, 1 << 21):
-            texts = every[first:past]
-            words = [words_of(texts[a:b])[0] for a, b in blocks(texts, 1 << 20)]
-            codes = [grams(texts[a:b])[0] for a, b in blocks(texts, 1 << 20)]
-            word, n_word = np.unique(np.concatenate(words), return_counts=True)
-            code, n_code = np.unique(np.concatenate(codes), return_counts=True)
-            kind = np.repeat(np.array([0, 1, 2], np.int8), [len(word), len(code), 1])
-            key = np.concatenate((word.view(np.int64), code.view(np.int64), [0]))
-            yield pd.DataFrame({"kind": kind, "key": key, "n": np.concatenate((n_word, n_code, [len(texts)]))})
+        texts = [x.encode() for x in frame["text"].tolist()]
+        n_texts += len(texts)
+        for a, b in blocks(texts, 1 << 20):
+            words.add(words_of(texts[a:b])[0])
+            codes.add(grams(texts[a:b])[0])
+            if len(words.key) + len(codes.key) > HELD:
+                yield from counts()
+                words, codes, n_texts = Counter(), Counter(), 0
+    if n_texts or len(words.key):
+        yield from counts()
 
 
 def most_frequent(counts: DataFrame, kind: int, most: int, give: str = "n") -> tuple[tuple[np.ndarray, np.ndarray], bool]:
@@ -213,23 +243,21 @@ def most_frequent(counts: DataFrame, kind: int, most: int, give: str = "n") -> t
     return (got["key"].to_numpy(np.int64), got["given"].to_numpy(np.float64 if give == "value" else np.int64)), total == sum(bins.values())
 
 
-_MODEL: dict[str, tuple] = {}
-
-
 def model_of(token: str, head_key: np.ndarray, head_n: np.ndarray, code: np.ndarray, value: np.ndarray) -> tuple:
     """(index of the frequent words, log10(count + 1) of each and of no word, index of the frequent n-grams, log10 of each and 0), built once a worker."""
-    if token not in _MODEL:
-        _MODEL.clear()
+
+    def build():
         index, codes = HashIndex(max(8, len(head_key))), HashIndex(max(8, len(code)))
         index.add(head_key.view(np.uint64))
         codes.add(mix64(code.view(np.uint64) + np.uint64(1)))
-        _MODEL[token] = index, np.append(np.log10(head_n + 1.0), 0.0), codes, np.append(value, 0.0)
-    return _MODEL[token]
+        return index, np.append(np.log10(head_n + 1.0), 0.0), codes, np.append(value, 0.0)
+
+    return claim(f"ppm-{token}", build)
 
 
 def own_values(counts: DataFrame) -> DataFrame:
     """(key, n, value): the training n-grams, and log10 of each in its longest context."""
-    context = F.shiftright("key", 8)
+    context = F.shiftright("key", BITS)
     rows = counts.where("kind = 1").select("key", "n", context.alias("context"))
     nodes = rows.groupBy("context").agg((F.sum("n") + F.count("*")).alias("all"))
     return rows.join(nodes, "context").select("key", "n", (F.log10("n") - F.log10("all")).alias("value"))
@@ -242,16 +270,16 @@ def fallback_values(counts: DataFrame, unseen: DataFrame, order: int = ORDER) ->
     for k in range(order - 1, -1, -1):
         shorter = tables[0].groupBy(F.col("key").bitwiseAND(F.lit(mask[k])).alias("key")).agg(F.sum("n").alias("n"))
         tables.insert(0, written(shorter, "lm-grams"))
-    last = -math.log10(max(1, 256 - tables[0].count()))
-    nodes = [t.groupBy(F.shiftright("key", 8).alias("node")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")) for t in tables]
+    last = -math.log10(max(1, SYMBOLS - tables[0].count()))
+    nodes = [t.groupBy(F.shiftright("key", BITS).alias("node")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")) for t in tables]
     out = unseen
     for k in range(order, -1, -1):
         short = F.col("key").bitwiseAND(F.lit(mask[k]))
-        need = unseen.select(F.shiftright(short, 8).alias("node")).distinct()
+        need = unseen.select(F.shiftright(short, BITS).alias("node")).distinct()
         node = nodes[k].join(need, "node", "left_semi")
         if k:
             under = tables[k - 1].select(F.col("key").alias("below"), F.col("n").alias("below_n"))
-            mine = tables[k].select(F.shiftright("key", 8).alias("node"), F.col("key").bitwiseAND(F.lit(mask[k - 1])).alias("below")).join(need, "node", "left_semi")
+            mine = tables[k].select(F.shiftright("key", BITS).alias("node"), F.col("key").bitwiseAND(F.lit(mask[k - 1])).alias("below")).join(need, "node", "left_semi")
             gone = mine.join(under, "below").groupBy("node").agg(F.sum("below_n").alias("gone"))
             parent = nodes[k - 1].toDF("parent", "parent_total", "parent_kinds")
             node = node.join(gone, "node").withColumn("parent", F.col("node").bitwiseAND(F.lit(mask[k - 2] if k > 1 else 0))).join(parent, "parent")
@@ -259,7 +287,7 @@ def fallback_values(counts: DataFrame, unseen: DataFrame, order: int = ORDER) ->
         else:
             node = node.select("node", "total", "kinds", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("left_kinds"))
         out = out.withColumn("short", short).join(tables[k].toDF("short", f"n{k}"), "short", "left").drop("short")
-        out = out.withColumn("node", F.shiftright(short, 8)).join(node.toDF("node", f"total{k}", f"kinds{k}", f"left{k}", f"left_kinds{k}"), "node", "left").drop("node")
+        out = out.withColumn("node", F.shiftright(short, BITS)).join(node.toDF("node", f"total{k}", f"kinds{k}", f"left{k}", f"left_kinds{k}"), "node", "left").drop("node")
         out = written(out, "lm-unseen")
 
     def body(frames):
