@@ -8,16 +8,15 @@ nested sets of the most probable languages.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import remainder, slices
+from chronoweave.llm.common import claim, remainder, slices
 
 BUCKET_BITS = 15
 SMOOTHING = 0.5
@@ -25,7 +24,7 @@ STEPS = 12
 #: Price of one more language, times log(1 + words).
 PENALTY = 2.0
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
@@ -80,24 +79,35 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, modulus: i
     return langs, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
-def fit_mixture(like: np.ndarray, first: np.ndarray, words: np.ndarray, share: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of each document and its log-likelihood, from word likelihoods scaled to a maximum of 1."""
-    for k in range(steps + 1):
+def fit_mixture(like: np.ndarray, first: np.ndarray, words: np.ndarray, share: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(proportions of each document, its log-likelihood, a bound that no proportions exceed).
+
+    ``like``: word likelihoods scaled to a maximum of 1. Each document stops by itself, so its
+    result does not depend on the others. The log-likelihood is concave: with d the mean of
+    likelihood over mixture of each language, other proportions gain at most ``words * log(max d)``.
+    """
+    share, open_ = share.astype(np.float32), np.ones(len(words), bool)
+    for _ in range(steps):
         part = like * np.repeat(share, words, 0)
-        total = part.sum(1, keepdims=True)
-        if k == steps:
+        part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
+        new = (np.add.reduceat(part, first, 0) / words[:, None]).astype(np.float32)
+        moved = np.abs(new - share).max(1)
+        share = np.where(open_[:, None], new, share)
+        open_ &= moved >= 1e-3
+        if not open_.any():
             break
-        part /= np.maximum(total, 1e-30)
-        new = np.add.reduceat(part, first, 0) / words[:, None]
-        moved = np.abs(new - share).max()
-        share = new.astype(np.float32)
-        if moved < 1e-3:
-            steps = k + 1
-    return share, np.add.reduceat(np.log(np.maximum(total[:, 0], 1e-30)), first)
+    total = np.maximum((like * np.repeat(share, words, 0)).sum(1), 1e-30)
+    fit = np.add.reduceat(np.log(total.astype(np.float64)), first)
+    gain = (np.add.reduceat(like / total[:, None], first, 0, dtype=np.float64) / words[:, None]).max(1)
+    return share, fit, fit + words * np.log(np.maximum(gain, 1.0))
 
 
 def infer(model: np.ndarray, texts: list[bytes], penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions [text, language], certainty that the first language is the right one)."""
+    """(proportions [text, language], certainty of the choice).
+
+    The certainty compares the chosen set with the best other one: of one language the second
+    best language, of several the best one alone.
+    """
     n_langs = model.shape[1]
     share, sure = np.zeros((len(texts), n_langs), np.float32), np.zeros(len(texts))
     bucket, starts, words = trigrams(texts)
@@ -112,13 +122,13 @@ def infer(model: np.ndarray, texts: list[bytes], penalty: float = PENALTY) -> tu
     alone = np.add.reduceat((score - top).astype(np.float64), first, 0)
     best = np.sort(alone, 1)
     sure[full] = 1 / (1 + np.exp(-np.minimum(best[:, -1] - best[:, -2], 50))) if n_langs > 1 else 1.0
-    mix, fit = fit_mixture(like, first, n, np.full((len(full), n_langs), 1 / n_langs, np.float32))
+    mix, _, bound = fit_mixture(like, first, n, np.full((len(full), n_langs), 1 / n_langs, np.float32))
     price = penalty * np.log1p(n)
     chosen = np.zeros_like(mix)
     chosen[np.arange(len(full)), alone.argmax(1)] = 1
     value = best[:, -1] - price
-    # no set can fit better than the full mixture, so most documents need no other sets
-    open_ = np.flatnonzero(fit - 2 * price > value)
+    # no set can fit better than the bound, so most documents need no other sets
+    open_ = np.flatnonzero(bound - 2 * price > value)
     rank = np.argsort(np.argsort(-mix, 1, kind="stable"), 1)
     for size in range(2, n_langs + 1):
         if not len(open_):
@@ -126,9 +136,11 @@ def infer(model: np.ndarray, texts: list[bytes], penalty: float = PENALTY) -> tu
         rows = np.concatenate([np.arange(first[k], first[k] + n[k]) for k in open_])
         start = np.where(rank[open_] < size, np.maximum(mix[open_], 1e-6), 0)
         start /= start.sum(1, keepdims=True)
-        part, got = fit_mixture(like[rows], np.cumsum(n[open_]) - n[open_], n[open_], start.astype(np.float32))
+        part, got, _ = fit_mixture(like[rows], np.cumsum(n[open_]) - n[open_], n[open_], start.astype(np.float32))
         better = got - size * price[open_] > value[open_]
         chosen[open_[better]], value[open_[better]] = part[better], (got - size * price[open_])[better]
+    several = (chosen > 0).sum(1) > 1
+    sure[full[several]] = 1 / (1 + np.exp(-np.minimum((value - best[:, -1] + price)[several], 50)))
     share[full] = chosen
     return share, sure
 
@@ -136,33 +148,36 @@ def infer(model: np.ndarray, texts: list[bytes], penalty: float = PENALTY) -> tu
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, held_out: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """Language proportions of every whole text.
 
-    Returns doc_id, held_out, lang_pred, score, mixture and the columns in ``keep``. Null texts
-    and those without a letter are ``und`` with score 0, and so are all where nothing can be
+    Returns doc_id, held_out, lang_pred, score, mixture, certainty and the columns in ``keep``. Null
+    texts and those without a letter (Unicode category L) are ``und`` with score 0, and so are all where nothing can be
     learned. The score is the main language's proportion times the certainty of the choice.
-    Ties go to the language first in order. Repeated rows are each answered; an empty table
+    Ties go to the language first in order. Very long texts are taken whole, and a text's result
+    does not depend on other rows of a batch. Repeated rows are each answered; an empty table
     gives no rows; columns named like the result's are not passed on.
     """
     langs, model = train(docs, id_col, text_col, lang_col, modulus, held_out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages: a fixed size
-    new = ("held_out", "lang_pred", "score", "mixture")
+    new = ("held_out", "lang_pred", "score", "mixture", "certainty")
     kept = [c for c in keep if c not in ("doc_id", *new)]
     text = text_col if text_col in kept else "_text"
 
     def predict(batches):
+        claim("language")
         for batch in batches:
             whole = [x or "" for x in batch.column(text).to_pylist()]
             letters = np.array([bool(_LETTER.search(x)) for x in whole], bool)
-            main, score, mixture = [], [], []
+            main, score, mixture, certain = [], [], [], []
             for rows, texts in blocks(whole):
                 share, sure = infer(shared.value, texts) if langs else (np.zeros((len(texts), 1)), np.zeros(len(texts)))
                 ok = letters[rows] & (share.sum(1) > 0)
                 main += [langs[k] if good else UNDETERMINED for k, good in zip(share.argmax(1), ok)]
+                certain += np.where(ok, sure, 0.0).tolist()
                 score += np.where(ok, np.clip(share.max(1) * sure, 0, 1), 0.0).tolist()
                 mixture += [",".join(f"{langs[k]}:{row[k]:.3f}" for k in np.argsort(-row, kind="stable") if row[k] > 0) if good else "" for row, good in zip(share, ok)]
             passed = [batch.column(c) for c in ("doc_id", "held_out", *kept)]
-            yield pa.RecordBatch.from_arrays([*passed, pa.array(main, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.string())], names=["doc_id", "held_out", *kept, *new[1:]])
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(main, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.string()), pa.array(certain, pa.float64())], names=["doc_id", "held_out", *kept, *new[1:]])
 
     out = (remainder(F.col(id_col), modulus) == held_out).alias("held_out")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out, *kept, *([] if text in kept else [F.col(text_col).alias(text)]))
-    schema = T.StructType([x for x in rows.schema if x.name != "_text"]).add("lang_pred", "string").add("score", "double").add("mixture", "string")
+    schema = T.StructType([x for x in rows.schema if x.name != "_text"]).add("lang_pred", "string").add("score", "double").add("mixture", "string").add("certainty", "double")
     return rows.mapInArrow(predict, schema).select("doc_id", *new, *kept)
