@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import remainder, slices, written
+from chronoweave.llm.common import claim, remainder, slices, written
 
 STEP, DIM, FILTERS = 4, 8, 32
 CHUNK_STEPS = 64
-#: Bounds of the training sample: labelled rows, and evenly spaced chunks of each.
-TRAIN_ROWS, TRAIN_CHUNKS = 3000, 12
+#: Bound of the training sample: labelled rows, each with all its chunks.
+TRAIN_ROWS = 3000
 THRESHOLD = 0.3
 
 
@@ -114,49 +114,42 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, modulus: int, held_out: int, max_rows: int = TRAIN_ROWS) -> Network:
-    """A network fitted on at most ``max_rows`` labelled rows, chosen by a hash of their ids."""
+    """A network fitted on at most ``max_rows`` labelled rows, chosen by a hash of their ids, with their whole texts."""
     usable = labels.where((remainder(F.col(id_col), modulus) != held_out) & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label"))
-    sample = written(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows), "labelled")
+    sample = written(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows).distinct(), "labelled")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-
-    def pick(frames):
-        for frame in frames:
-            for doc_id, label, text in zip(frame["doc_id"], frame["label"], frame["text"]):
-                parts = chunks_of(text.encode())
-                some = [parts[k] for k in sorted({int(x) for x in np.linspace(0, len(parts) - 1, TRAIN_CHUNKS)})]
-                full = STEP * (CHUNK_STEPS + 1)
-                yield pd.DataFrame({"doc_id": [doc_id], "label": [label], "sizes": [[len(x) for x in some]], "chunks": [b"".join(x.ljust(full, b"\0") for x in some)]})
-
-    got = texts.mapInPandas(pick, "doc_id long, label double, sizes array<int>, chunks binary").toPandas().sort_values(["doc_id", "label", "chunks"])
-    net = Network()
-    if not len(got) or got["label"].nunique() < 2:
-        net.combine = np.array([0, 0, 0, 0 if not len(got) else 4 * float(got["label"].iloc[0]) - 2], np.float32)
+    # of an id with several rows the first text by order, so that the sample stays within its bound
+    got = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "label"])
+    net, label = Network(), got["label"].to_numpy()
+    if len(set(label)) < 2:
+        net.combine = np.array([0, 0, 0, 4 * label[0] - 2 if len(label) else 0], np.float32)
         return net
-    chunks = np.frombuffer(b"".join(got["chunks"]), np.uint8).reshape(-1, STEP * (CHUNK_STEPS + 1))
-    n, sizes, label = got["sizes"].map(len).to_numpy(), np.concatenate(got["sizes"].to_list()), got["label"].to_numpy()
-    net.learn(chunks, sizes, np.repeat(label, n).astype(np.float32), np.repeat(1 / n, n).astype(np.float32) * (len(chunks) / len(n)))
-    net.learn_combination(document_summary(net, chunks, sizes, n), label)
+    whole = [x.encode() for x in got["text"]]
+    parts = [chunks_of(x) for x in whole]
+    n = np.array([len(x) for x in parts])
+    flat = [x for some in parts for x in some]
+    sizes = np.array([len(x) for x in flat])
+    full = STEP * (CHUNK_STEPS + 1)
+    chunks = np.frombuffer(b"".join(x.ljust(full, b"\0") for x in flat), np.uint8).reshape(-1, full)
+    net.learn(chunks, sizes, np.repeat(label, n).astype(np.float32), (np.repeat(1 / n, n) * (len(chunks) / len(n))).astype(np.float32))
+    # the combination is learned from the summaries that scoring will see: those of whole texts
+    summary = np.concatenate([net.summary(whole[a:b]) for a, b in slices(np.array([len(x) for x in whole]), 1 << 18)])
+    net.learn_combination(summary, label)
     return net
 
 
-def document_summary(net: Network, chunks: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Summaries from the sampled chunks of each training row."""
-    one = np.concatenate([net.summary([bytes(x[:m]) for x, m in zip(chunks[a : a + 2000], sizes[a : a + 2000])])[:, 0] for a in range(0, len(chunks), 2000)])
-    first = np.cumsum(n) - n
-    return np.column_stack((np.add.reduceat(one, first) / n, np.maximum.reduceat(one, first), np.minimum.reduceat(one, first)))
-
-
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 5, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """Probability that each whole text is of good quality.
 
     Returns doc_id, held_out, score, predicted. Null counts as empty; empty texts are scored
-    like any other. Documents without a label are scored, labels without a document ignored.
-    Repeated rows are scored one by one. Without two classes of labels the score is constant.
+    like any other, and very long ones whole. Documents without a label are scored, labels without a document ignored.
+    Repeated rows are scored one by one; an id labelled twice trains with both labels. Without two classes of labels the score is constant.
     Other columns are ignored; an empty table gives no rows.
     """
     net = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, modulus, held_out))  # some 20 KB
 
     def score(frames):
+        claim("quality")
         for frame in frames:
             texts = [x.encode() for x in frame["text"].tolist()]
             parts = [net.value.probability(texts[a:b]) for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 18)]
