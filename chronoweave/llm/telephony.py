@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import slices
+from chronoweave.llm.common import claim, slices, small_batches, written
 
 #: WAV format tags (fixed values).
 PCM, ALAW, MULAW, IMA = 0x0001, 0x0006, 0x0007, 0x0011
@@ -158,16 +158,17 @@ def feature(samples: np.ndarray, tag: int) -> str:
     return f"{tag}:{len(wide)}:{int(np.abs(wide).max(initial=0))}:{int((wide * wide).sum()) // n}:{crossings}:{zlib.crc32(samples.astype('<i2').tobytes()):08x}"
 
 
-def audio_columns(media: DataFrame, media_col: str = "media", target_rate: int = RATE_OUT, store_pcm: bool = True) -> DataFrame:
+def audio_columns(media: DataFrame, media_col: str = "media", target_rate: int = RATE_OUT) -> DataFrame:
     """``media`` plus ``pcm`` (16-bit little-endian at ``target_rate``), ``pcm_rate`` and ``feature``.
 
     Null media give null columns; a file that is not mono WAV of a known format is an error.
-    The other columns are passed on, but for those named like the new ones. Without
-    ``store_pcm`` the audio is decoded and resampled for the feature only.
+    The other columns are passed on, but for those named like the new ones. Long files are
+    decoded whole, repeated rows each, and a table without rows gives none.
     """
     kept = [c for c in media.columns if c not in ("pcm", "pcm_rate", "feature")]
 
     def body(frames):
+        claim("telephony")
         for frame in frames:
             blobs = frame[media_col].tolist()
             for a, b in slices(np.array([len(x or b"") for x in blobs], np.int64), 1 << 20):
@@ -177,16 +178,11 @@ def audio_columns(media: DataFrame, media_col: str = "media", target_rate: int =
                 part = frame.iloc[a:b].copy()
                 by = dict(zip(some, range(len(some))))
                 part["feature"] = [feature(pcm[by[k]], read_wav(blobs[k])[0]) if k in by else None for k in range(a, b)]
-                if not store_pcm:
-                    yield part
-                    continue
                 part["pcm"] = [pcm[by[k]].astype("<i2").tobytes() if k in by else None for k in range(a, b)]
                 part["pcm_rate"] = pd.array([target_rate if k in by else None for k in range(a, b)], "Int32")
                 yield part
 
-    schema = media.select(*kept).schema.add("feature", "string")
-    if store_pcm:
-        schema = schema.add("pcm", "binary").add("pcm_rate", "integer")
+    schema = media.select(*kept).schema.add("feature", "string").add("pcm", "binary").add("pcm_rate", "integer")
     return media.select(*kept).mapInPandas(body, schema)
 
 
@@ -198,6 +194,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def body(frames):
+        claim("telephony")
         for frame in frames:
             texts = [x.encode() for x in frame["text"].tolist()]
             for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 22):
@@ -210,16 +207,28 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of the payloads read back from the stored files, of the files and of their audio."""
+    """Digests of the payloads read back from the stored files, of the files and of their stored PCM.
+
+    The files and their resampled PCM are stored as a table in the shared folder; everything is
+    computed from what is read back, the feature from the PCM. One row per row of ``docs``: null
+    texts count as empty, long ones are taken whole, equal texts give equal values, other
+    columns are ignored and no rows give no rows.
+    """
 
     def body(frames):
+        claim("telephony")
         for frame in frames:
-            payloads = [payload_of(x) for x in frame["media"]]
+            blobs = frame["media"].tolist()
+            payloads = [payload_of(x) for x in blobs]
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"], "n_bytes": frame["n_bytes"], "payload_bytes": [len(x) for x in payloads],
                 "payload_sha256": [hashlib.sha256(x).hexdigest() for x in payloads], "tail_crc32": [zlib.crc32(x[-UNIT:]) for x in payloads],
-                "media_bytes": [len(x) for x in frame["media"]], "media_sha256": [hashlib.sha256(x).hexdigest() for x in frame["media"]], "feature": frame["feature"],
+                "media_bytes": [len(x) for x in blobs], "media_sha256": [hashlib.sha256(x).hexdigest() for x in blobs],
+                "feature": [feature(np.frombuffer(p, "<i2"), read_wav(x)[0]) for p, x in zip(frame["pcm"], blobs)],
             })
 
-    audio = audio_columns(stored_texts(docs, id_col, text_col), store_pcm=False)
-    return audio.mapInPandas(body, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    audio = audio_columns(stored_texts(docs, id_col, text_col)).drop("feature")
+    with small_batches(docs.sparkSession):
+        stored = written(audio, "audio", "zstd")
+        digests = stored.mapInPandas(body, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        return written(digests, "media-digests")
