@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import mix64, sized, slices, small, stream64, whole_groups, words_of, written
+from chronoweave.llm.common import claim, mix64, slices, small, stream64, whole_groups, words_of, written
 from chronoweave.llm.components import components, extended
 
 PERCENT = 80
@@ -36,7 +36,7 @@ HASHES = 2 * BANDS * ROWS
 #: Signature agreement from which a pair may reach the threshold (at 0.8 it is less in about 1 of 15,000 pairs).
 PLAUSIBLE = 0.6
 #: Members of a side of a block.
-BLOCK = 256
+BLOCK = 128
 ID_BOUND = 1_000_000
 
 
@@ -88,6 +88,7 @@ def features(width: int) -> Callable:
     """Set size, 128-bit set digest, signature and both collections of half keys of each text."""
 
     def body(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("near-dup")
         for frame in frames:
             texts = [x.encode() for x in frame["text"].tolist()]
             for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 21):

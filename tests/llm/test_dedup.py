@@ -92,7 +92,7 @@ def components_of(spark, rows, **more):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **more).collect()}
 
 
-@pytest.mark.parametrize("block", [256, 16])
+@pytest.mark.parametrize("block", [128, 16])
 def test_near_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     rows = make_near()
@@ -137,7 +137,7 @@ def linked_at_random(rnd):
 
 
 @pytest.mark.parametrize("shape", [drifting, branching, linked_at_random])
-@pytest.mark.parametrize("block", [256, 16])
+@pytest.mark.parametrize("block", [128, 16])
 def test_near_in_chains_trees_and_random_graphs(spark, monkeypatch, shape, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     rnd = random.Random(3)

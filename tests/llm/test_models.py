@@ -9,7 +9,7 @@ import pytest
 
 from chronoweave.llm import telephony as tel
 from chronoweave.llm.language import fit_mixture, identify, infer, train
-from chronoweave.llm.ppm import AdaptiveTrie, Trie, adaptive_scores, grams, score_documents
+from chronoweave.llm.ppm import END, AdaptiveTrie, Trie, adaptive_scores, grams, score_documents
 from chronoweave.llm.quality import Network, chunks_of, quality_scores
 
 DATA = "/root/testdata/sf0.01"
@@ -44,11 +44,68 @@ def test_language_mixture_proportions(spark, documents):
 def test_em_by_brute_force():
     rng = np.random.default_rng(2)
     like = rng.random((30, 3)).astype(np.float32)
-    share, fit = fit_mixture(like, np.array([0]), np.array([30]), np.full((1, 3), 1 / 3, np.float32), steps=300)
+    share, fit, _ = fit_mixture(like, np.array([0]), np.array([30]), np.full((1, 3), 1 / 3, np.float32), steps=300)
     best = max(sum(math.log(a * x + b * y + (1 - a - b) * z) for x, y, z in like.tolist()) for a in np.arange(0, 1.01, 0.05) for b in np.arange(0, 1.01 - a, 0.05) if 1 - a - b >= -1e-9)
     assert fit[0] > best - 0.05 and abs(share.sum() - 1) < 1e-4
 
 
+def test_em_bound_holds():
+    rng = np.random.default_rng(5)
+    like = rng.random((400, 4)).astype(np.float32) ** 3
+    words = np.array([100, 250, 50])
+    first, flat = np.array([0, 100, 350]), np.full((3, 4), 0.25, np.float32)
+    _, _, bound = fit_mixture(like, first, words, flat, steps=2)
+    _, far, _ = fit_mixture(like, first, words, flat, steps=2000)
+    assert (bound >= far - 1e-6).all()
+
+
+def mixed_texts(documents):
+    texts = [r.text for r in documents.where("doc_id % 3 = 1 AND n_chars > 200 AND n_chars < 3000").orderBy("doc_id").limit(120).collect()]
+    return [x.encode() for x in (*texts[:30], *(" ".join(a.split()[:40] + b.split()[:40]) for a, b in zip(texts, texts[60:])))]
+
+
+def test_language_alone_as_in_a_batch(spark, documents):
+    _, model = train(documents, "doc_id", "text", "lang", 3, 1)
+    texts = mixed_texts(documents)
+    share, sure = infer(model, texts)
+    for k, text in enumerate(texts):
+        alone, sure_alone = infer(model, [text])
+        assert np.array_equal(alone[0], share[k]) and sure_alone[0] == sure[k]
+
+
+def test_language_set_by_brute_force(spark, documents):
+    """The chosen set has the best penalised likelihood of the nested sets, fitted to the end."""
+    from chronoweave.llm.language import PENALTY, trigrams
+
+    _, model = train(documents, "doc_id", "text", "lang", 3, 1)
+    texts = mixed_texts(documents)
+    share, _ = infer(model, texts)
+    for k, text in enumerate(texts):
+        bucket, starts, words = trigrams([text])
+        score = np.add.reduceat(model[bucket], starts, 0)
+        like = np.exp(score - score.max(1, keepdims=True)).astype(np.float64)
+        price, n = PENALTY * math.log1p(len(starts)), len(starts)
+        full = np.full(4, 0.25)
+        for _ in range(12):
+            full = (like * full / (like * full).sum(1, keepdims=True)).mean(0)
+        values = {(int(np.log(np.maximum(like, 1e-30)).sum(0).argmax()),): np.log(np.maximum(like, 1e-30)).sum(0).max() - price}
+        for size in (2, 3, 4):
+            some = np.argsort(-full, kind="stable")[:size]
+            p = full[some] / full[some].sum()
+            for _ in range(400):
+                p = (like[:, some] * p / (like[:, some] * p).sum(1, keepdims=True)).mean(0)
+            values[tuple(sorted(some.tolist()))] = np.log((like[:, some] * p).sum(1)).sum() - size * price
+        chosen = tuple(np.flatnonzero(share[k] > 0).tolist())
+        near = max(values.values()) - 0.5  # the operator's fits are not run to the end
+        assert any(v >= near and (set(chosen) <= set(s)) for s, v in values.items()), (k, n, chosen, values)
+
+
+def test_numbers_are_not_letters(spark):
+    docs = spark.createDataFrame([(1, "a text of letters", "en"), (2, "\u00bd \u00b2 \u2460", "en"), (3, "un texte de mots", "fr"), (5, "another text", "en"), (6, "encore un mot", "fr")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs).collect()}
+    assert got[2] == ("und", 0.0) and got[1][0] in ("en", "fr")
+
+
 def test_language_odd_rows(spark, odd, none):
     got = {r.doc_id: r for r in identify(odd).collect()}
     assert {k for k, r in got.items() if r.lang_pred == "und"} >= {4, 5, 6, 7}
@@ -93,6 +150,19 @@ def test_network_summary_by_brute_force():
         assert np.allclose(got, [np.mean(logits), max(logits), min(logits)], atol=1e-4)
 
 
+def test_quality_trains_on_whole_texts(spark):
+    """What tells the classes apart lies far behind the beginning."""
+    rng = np.random.default_rng(0)
+    plain = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    rows = [(k, plain(6000) + ("#@" * 750 if k % 2 else plain(1500))) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k, _ in rows] + [(3, 0)], "doc_id long, quality int")
+    got = quality_scores(docs.union(docs.where("doc_id < 4")), labels).collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == 164 and len(held) > 20
+    assert np.mean([(r.score > 0.5) == (r.doc_id % 2 == 0) for r in held]) > 0.9
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (8, None, 1), (99, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality_scores(odd, labels).collect()
@@ -119,7 +189,16 @@ def test_probabilities_sum_to_one():
     trie = AdaptiveTrie(2)
     trie.code(b"abracadabra", True)
     for context in (b"ab", b"zz", b"ra", b"\0a"):
-        assert abs(sum(10 ** trie.log10(context, s) for s in range(256)) - 1) < 1e-9
+        assert abs(sum(10 ** trie.log10(tuple(b + 1 for b in context), s) for s in range(1, 258)) - 1) < 1e-9
+
+
+def test_a_zero_byte_is_not_the_end():
+    trie = AdaptiveTrie(2)
+    trie.code(b"ab", True)
+    ends = trie.log10((98, 99), END)
+    assert ends > trie.log10((98, 99), 1)
+    codes, sizes = grams([b"a\0", b"a"])
+    assert sizes.tolist() == [3, 2] and codes[1] != codes[4] and codes[2] != codes[4]
 
 
 def test_scores_by_brute_force(spark, odd, none):
@@ -145,7 +224,7 @@ def test_scores_by_brute_force(spark, odd, none):
 
 def test_ppm_scores_do_not_depend_on_the_head(spark):
     """All n-grams count, however few are looked up where the text is read."""
-    texts = ["the cat sat on the mat", "the dog sat", "\u00f1and\u00fa \u00fcber", "", "zzz on the catalogue", "a dog ran over the mat", "\u00fcbergro\u00df", "quite another text 12", "the mats"] * 3
+    texts = ["the cat sat on the mat", "the dog sat", "a\0b\0", "\u00f1and\u00fa \u00fcber", "", "zzz on the catalogue", "a dog ran over the mat", "\u00fcbergro\u00df", "quite another text 12", "the mats"] * 3
     docs = [(k, f"{t} {k % 5}" if t else t) for k, t in enumerate(texts)]
     out = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 7 == 2}
     slow = AdaptiveTrie()
@@ -211,6 +290,8 @@ def test_round_trip_and_odd_rows(spark, odd, none):
         payload = text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text))
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert tel.media_digests(none).count() == 0
+    whole = {r.doc_id: r.feature for r in tel.audio_columns(tel.stored_texts(odd)).collect()}
+    assert all(r.feature == whole[r.doc_id] for r in rows)  # the feature of the stored PCM is that of the decoded audio
     media = tel.stored_texts(odd).selectExpr("doc_id", "CASE WHEN doc_id = 1 THEN NULL ELSE media END AS media", "'x' AS pcm", "'y' AS extra")
     out = {r.doc_id: r for r in tel.audio_columns(media).collect()}
     assert out[1].pcm is None and out[1].feature is None and out[2].extra == "y" and out[2].pcm_rate == 16000
