@@ -1,4 +1,8 @@
-"""A training-corpus pipeline over the documents table, one operator a stage."""
+"""A training-corpus pipeline over the documents table, one operator a stage.
+
+Every stage passes on whole rows: the columns an operator reads are given to it apart from the
+row itself, so columns of ``docs`` may have any names. A table without rows stays one.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +17,8 @@ from chronoweave.llm.near_dup import drop_near_duplicates
 from chronoweave.llm.packing import pack
 from chronoweave.llm.queries import bpe_path
 
-#: Documents whose main language is less certain than this are rejected; a mixture of known languages is kept.
-MIN_SCORE = 0.25
+#: A choice of languages less certain than this is a guess; 0.5 is a coin toss between the best two.
+MIN_CERTAINTY = 0.6
 
 
 def apart(docs: DataFrame, *columns: str) -> DataFrame:
@@ -23,28 +27,44 @@ def apart(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language, or whose language is a guess."""
+    """Drops documents without a language, or whose language is a guess; mixtures of languages stay.
+
+    Null and empty texts and those without a letter have no language. Rows with a null language
+    or id are judged like any other, as are very long texts and repeated rows, each by itself.
+    Where no row has a language nothing can be learned, and every document goes.
+    """
     found = identify(apart(docs, "doc_id", "text", "lang"), keep=("_cw_row",))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select("_cw_row.*")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("certainty") >= MIN_CERTAINTY)).select("_cw_row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of equal texts."""
+    """Keeps of equal texts (A-Z lower-cased) the row with the largest id; null texts equal empty ones.
+
+    Of repeated rows the last by place in the files stays. Null ids come before all others.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id.
+
+    Null and empty texts are in no group; rows without an id stay; rows with the same id and
+    text stay or go together.
+    """
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents to the target mixture."""
+    """Samples documents to the target mixture of sources, languages and topics.
+
+    Null sources and languages are margins of their own. Texts without words, null ones too, have
+    no tokens and go. Rows with the same id and cell stay or go together.
+    """
     return mix(apart(docs, "doc_id", "text", "source", "lang")).where("kept").select("_cw_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences; one row per piece."""
+    """Packs the documents into sequences; one row per piece. A null or empty text is its end id alone."""
     return pack(docs, bpe_path())
 
 
