@@ -1,11 +1,17 @@
+import zlib
+
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
 from chronoweave.llm.chat import rotate
 from chronoweave.llm.common import written
-from chronoweave.llm.mixing import mix, rake
-from chronoweave.llm.queries import oracle_sql, queries
+from chronoweave.llm.language import identify
+from chronoweave.llm.mixing import TEMPER, cells_of, margin_errors, margins_of, mix, rake
+from chronoweave.llm.queries import bpe_path, oracle_sql, queries
+from test_dedup import LOWER, brute_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,12 +29,31 @@ def test_chat_odd_rows(spark):
 
 def test_raking_meets_the_margins(spark):
     cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 50), ("b", "x", 10), ("b", "y", 40)], "source string, lang string, tokens long")
-    got = rake(cells, {"source": 0.5, "lang": 0.0}, rounds=30).collect()
+    got = rake(cells, {"source": 0.5, "lang": 0.0}, rounds=30, rate=0.1).collect()
     total = {k: sum(r.weight for r in got if k in (r.source, r.lang)) for k in "abxy"}
     assert abs(total["x"] - 100) < 1e-6 and abs(total["y"] - 100) < 1e-6
     assert abs(total["a"] / total["b"] - (150 / 50) ** 0.5) < 1e-3
 
 
+def test_full_cells_pass_on_what_they_cannot_take(spark):
+    """Cells that the old formula would clip are full, and the margins are met all the same."""
+    cells = spark.createDataFrame([("a", "x", 1000), ("a", "y", 50), ("b", "x", 30), ("b", "y", 300), ("c", "x", 5)], "source string, lang string, tokens long")
+    raked = rake(cells, {"source": 0.5, "lang": 0.5}, rounds=60, rate=0.5)
+    assert all(r.weight * 0.5 <= r.tokens * (1 + 1e-9) for r in raked.collect()) and any(r.weight * 0.5 > r.tokens * 0.999 for r in raked.collect())
+    errors = margin_errors(raked, {"source": 0.5, "lang": 0.5}).collect()
+    assert len(errors) == 5 and all(abs(r.expected / r.target - 1) < 1e-3 for r in errors)
+
+
+def test_the_query_meets_its_margins(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    raked = rake(cells_of(margins_of(docs, "text", TEMPER), TEMPER), TEMPER)
+    errors = margin_errors(raked).collect()
+    assert {r.margin for r in errors} == set(TEMPER) and all(abs(r.expected / r.target - 1) < 0.01 for r in errors)
+    sampled = mix(docs)
+    tokens = sampled.agg({"tokens": "sum"}).first()[0]
+    assert abs(sampled.selectExpr("sum(tokens * probability)").first()[0] / (0.5 * tokens) - 1) < 0.01
+
+
 def test_mix_odd_rows(spark, odd, none):
     got = mix(odd).collect()
     assert len(got) == odd.count()
@@ -37,18 +62,56 @@ def test_mix_odd_rows(spark, odd, none):
 
 
 def test_stages_on_odd_and_no_rows(spark, odd, none):
-    for start in (odd, none):
-        docs = start
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = written(stage(spark, docs, SF), "test")
-            assert docs.columns == odd.columns
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 0
+    """Which rows each stage keeps of those that it gets."""
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    docs, kept = odd, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "test")
+        assert docs.columns == odd.columns
+        kept.append(ids(docs))
+    language, exact, near, mixed = kept
+    assert not {4, 5, 6, 7} & set(language) and {1, 2, 3, 8, 9, 10, 14} <= set(language)
+    norm = {r.doc_id: (r.text or "").lower() for r in odd.collect()}
+    assert exact == sorted({max(j for j in language if norm[j] == norm[k]) for k in language})
+    want = brute_components([(k, norm[k]) for k in exact], 5)
+    assert near == [k for k in exact if want[k][1] == k]
+    assert set(mixed) <= set(near)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted({r.doc_id for r in pieces}) == mixed
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+
 
+def test_pipeline_by_brute_force(spark):
+    """Every stage's rows from plain Python on what the stage before it kept; the last one's pieces by the tokenizers library."""
+    from tokenizers import Tokenizer
 
-def test_pipeline_keeps_what_the_stages_keep(spark):
-    kept = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert kept and kept < {r.doc_id for r in docs.select("doc_id").collect()}
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = {r.doc_id: r for r in identify(docs).collect()}
+    left = {k for k in text if found[k].lang_pred != "und" and found[k].certainty >= corpus_pipeline.MIN_CERTAINTY}
+    assert all(any(c.isalpha() for c in text[k]) for k in left) and len(left) > 0.9 * len(text)
+    newest = {}
+    for k in sorted(left):
+        newest[text[k].translate(LOWER)] = k
+    left = set(newest.values())
+    component = brute_components([(k, text[k]) for k in left], 5)
+    left = {k for k in left if component[k][1] == k}
+    db = duckdb.connect()
+    source = pd.DataFrame([(r.doc_id, r.text, r.lang, r.source) for r in docs.collect() if r.doc_id in left], columns=["doc_id", "text", "lang", "source"])
+    db.register("documents", source)
+    left = {r[0] for r in db.execute(f"SELECT doc_id FROM ({oracle_sql()['op9_mixing']}) WHERE kept").fetchall()}
+    library, rows = Tokenizer.from_file(bpe_path()), corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in rows} == left
+    for k in left:
+        want = [*library.encode(text[k], add_special_tokens=False).ids, 0]
+        at = 0
+        for r in sorted((r for r in rows if r.doc_id == k), key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(want[at : at + r.length], "<u4").tobytes()) and r.doc_tokens == len(want)
+            at += r.length
+        assert at == len(want)
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
