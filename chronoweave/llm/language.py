@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import claim, remainder, slices
+from chronoweave.llm.common import bounded_batches, claim, remainder, slices
 
 BUCKET_BITS = 15
 SMOOTHING = 0.5
@@ -105,8 +105,8 @@ def fit_mixture(like: np.ndarray, first: np.ndarray, words: np.ndarray, share: n
 def infer(model: np.ndarray, texts: list[bytes], penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """(proportions [text, language], certainty of the choice).
 
-    The certainty compares the chosen set with the best other one: of one language the second
-    best language, of several the best one alone.
+    The certainty compares the best language alone with the second best, and a chosen set of
+    several languages also with the best one alone; the larger counts.
     """
     n_langs = model.shape[1]
     share, sure = np.zeros((len(texts), n_langs), np.float32), np.zeros(len(texts))
@@ -140,7 +140,8 @@ def infer(model: np.ndarray, texts: list[bytes], penalty: float = PENALTY) -> tu
         better = got - size * price[open_] > value[open_]
         chosen[open_[better]], value[open_[better]] = part[better], (got - size * price[open_])[better]
     several = (chosen > 0).sum(1) > 1
-    sure[full[several]] = 1 / (1 + np.exp(-np.minimum((value - best[:, -1] + price)[several], 50)))
+    gain = (value - best[:, -1] + price)[several]
+    sure[full[several]] = np.maximum(sure[full[several]], 1 / (1 + np.exp(-np.minimum(gain, 50))))
     share[full] = chosen
     return share, sure
 
@@ -155,6 +156,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     does not depend on other rows of a batch. Repeated rows are each answered; an empty table
     gives no rows; columns named like the result's are not passed on.
     """
+    bounded_batches(docs.sparkSession)
     langs, model = train(docs, id_col, text_col, lang_col, modulus, held_out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages: a fixed size
     new = ("held_out", "lang_pred", "score", "mixture", "certainty")
