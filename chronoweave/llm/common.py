@@ -6,7 +6,6 @@ Parquet, so a lost executor only costs the tasks it ran.
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -57,16 +56,14 @@ def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 500):
-    """Fewer rows in each batch that Python gets, for queries that run inside and have large rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Smaller batches between the JVM and Python, unless the session has settings of its own.
+
+    Texts are long rows: the usual 10,000 of a batch are held on both sides several times over.
+    """
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, value)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import claim, mix64, slices, small, stream64, whole_groups, words_of, written
+from chronoweave.llm.common import bounded_batches, claim, mix64, slices, small, stream64, whole_groups, words_of, written
 from chronoweave.llm.components import components, extended
 
 PERCENT = 80
@@ -269,6 +269,7 @@ def class_components(rows: DataFrame, classes: DataFrame, width: int) -> DataFra
 
 def near_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, tag, n, component_id) of each row; ``tag`` is a hash of its text."""
+    bounded_batches(docs.sparkSession)
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     rows = every.where("doc_id IS NOT NULL")
     feats = written(rows.mapInPandas(features(width), "doc_id long, tag long, n long, d1 long, d2 long, sig binary, half_a array<long>, half_b array<long>"), "features")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.bpe import encoder
-from chronoweave.llm.common import slices, written
+from chronoweave.llm.common import bounded_batches, slices, written
 from chronoweave.llm.tokens import encode_texts
 
 K1, B = 1.2, 0.75
@@ -132,6 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     lengths are taken in the shard's order. Only a shard's last sequence can be short; its
     padding to ``window`` is the only padding. Other columns are ignored; no rows give no rows.
     """
+    bounded_batches(docs.sparkSession)
     enc = encoder(tokenizer)
     n_ids, kind = enc.n_ids, "<u2" if enc.n_ids <= 1 << 16 else "<u4"
     tokens = written(encoded(docs, tokenizer, id_col, text_col, end_id), "packing-ids")

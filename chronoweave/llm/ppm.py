@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import HashIndex, ascii_lower, claim, mix64, remainder, slices, words_of, written
+from chronoweave.llm.common import HashIndex, ascii_lower, bounded_batches, claim, mix64, remainder, slices, words_of, written
 
 ORDER = 5
 HEAD_WORDS = 100_000
@@ -323,6 +323,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the scores. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     out = remainder(F.col(id_col), modulus) == held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     counts = rows.where("NOT held_out").select("text").mapInPandas(count_corpus, "kind byte, key long, n long")

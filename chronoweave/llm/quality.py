@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import claim, remainder, slices, written
+from chronoweave.llm.common import bounded_batches, claim, remainder, slices, written
 
 STEP, DIM, FILTERS = 4, 8, 32
 CHUNK_STEPS = 64
@@ -146,6 +146,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Repeated rows are scored one by one; an id labelled twice trains with both labels. Without two classes of labels the score is constant.
     Other columns are ignored; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     net = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, modulus, held_out))  # some 20 KB
 
     def score(frames):

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import claim, slices, small_batches, written
+from chronoweave.llm.common import bounded_batches, claim, slices, written
 
 #: WAV format tags (fixed values).
 PCM, ALAW, MULAW, IMA = 0x0001, 0x0006, 0x0007, 0x0011
@@ -228,7 +228,6 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             })
 
     audio = audio_columns(stored_texts(docs, id_col, text_col)).drop("feature")
-    with small_batches(docs.sparkSession):
-        stored = written(audio, "audio", "zstd")
-        digests = stored.mapInPandas(body, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-        return written(digests, "media-digests")
+    bounded_batches(docs.sparkSession)
+    stored = written(audio, "audio", "zstd")
+    return stored.mapInPandas(body, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
