@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import bounded_batches, claim, slices, written
+from chronoweave.llm.common import bounded_batches, claim, slices
 
 #: WAV format tags (fixed values).
 PCM, ALAW, MULAW, IMA = 0x0001, 0x0006, 0x0007, 0x0011
@@ -209,10 +209,11 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of the payloads read back from the stored files, of the files and of their stored PCM.
 
-    The files and their resampled PCM are stored as a table in the shared folder; everything is
-    computed from what is read back, the feature from the PCM. One row per row of ``docs``: null
-    texts count as empty, long ones are taken whole, equal texts give equal values, other
-    columns are ignored and no rows give no rows.
+    All is computed from the columns of the operators: the payload read back from ``media``, the
+    feature from ``pcm``. One row per row of ``docs``: null texts count as empty, long ones are
+    taken whole, equal texts give equal values, other columns are ignored and no rows give no
+    rows. The PCM passes as a column and is not written to disk here: it is some six times the
+    text.
     """
 
     def body(frames):
@@ -229,5 +230,4 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     audio = audio_columns(stored_texts(docs, id_col, text_col)).drop("feature")
     bounded_batches(docs.sparkSession)
-    stored = written(audio, "audio", "zstd")
-    return stored.mapInPandas(body, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return audio.mapInPandas(body, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
