@@ -45,6 +45,13 @@ def test_markup(spark):
     assert [(t["name"], t["note"]) for t in titles] == [("Ann", "cto · x"), ("Bob", None)]
     hints = {h: one(spark, markup.affiliation(F.lit(h)).alias("a")).a for h in ("Board President", "co-founder", "CTO", "alumni", "pal")}
     assert [hints[h].predicate for h in hints] == ["member-of", "founder-of", "employed-by", "member-of", None] and hints["Board President"].role == "board-member"
+    assert hints["Board President"].confidence == "high" and hints["pal"].confidence == "needs-review"
+    roles = ("working group", "cto", "head of sales", "Alumna", "co founder & CEO", "trusteeship", "boardroom", "advisory board")
+    assert [one(spark, markup.affiliation(F.lit(h)).alias("a")).a.predicate for h in roles] == [None, "employed-by", "employed-by", "member-of", "founder-of", None, None, "member-of"]
+    nested = one(spark, markup.title_units(F.lit("A (b [c · d] · e) · [[F]] · (g) · ")))[0]
+    assert [(t["name"], t["note"]) for t in nested] == [("A", "b [c · d] · e"), ("F", None), ("(g)", None)]
+    left_out = {"- **Context**": "source organization", "- **Relationship to [[Ann]]**": "source organization", "type:: query": "source-system instruction", "- see {{query x}}": "source-system instruction", "(initial stub)": "editorial migration commentary", "- **Phone:** 1": None}
+    assert {u: one(spark, markup.exclusion(F.lit(u)))[0] for u in left_out} == left_out
     chunks = one(spark, markup.evidence_chunks(F.lit("a" * 4000 + "\n" + "b" * 5000)))[0]
     assert "".join(chunks) == "a" * 4000 + "\n" + "b" * 5000 and max(map(len, chunks)) <= 4096 and chunks[0].endswith("\n")
 
@@ -152,3 +159,25 @@ def test_flags(spark):
     schema = "source_event_id string, recorded_at string, action string, operation_id string, stream string, plane string, touched string, contains_sensitive boolean, redacted boolean, policy_decision string, outcome string, severity string"
     got = {(r.operation_id, r.code) for r in replay.findings(replay.operations(spark.createDataFrame(rows, schema))).collect()}
     assert got == {("o1", "missing-durable-audit"), ("o1", "remote-sensitive-touch"), ("o2", "audit-without-activity"), ("o2", "policy-denied"), ("o3", "operational-only"), ("o3", "operational-error")}
+
+
+def test_bait_scan_finds_any_substring(spark):
+    texts = [(1, "a secret in the text"), (2, "foo bar baz"), (3, None), (4, "x" * 200_000 + "needle"), (5, ""), (6, "\u00e9\u00e9 sec secret secret")]
+    needles = [(10, "secret"), (11, "foo bar baz"), (12, "needle"), (13, "sec"), (14, ""), (15, None), (16, "secret"), (17, "x" * 10)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    wanted = spark.createDataFrame(needles, "item_id long, text string")
+    want = sorted((k, i, t.find(n)) for k, t in texts if t for i, n in needles if n and n in t)
+    for a_pass in (50_000, 3):
+        assert sorted(map(tuple, search.bait_scan(docs, wanted, a_pass=a_pass).collect())) == want
+    assert search.bait_scan(docs, wanted.where("item_id > 99")).count() == 0
+
+
+def test_normal_query_of_whole_documents(spark):
+    import unicodedata
+
+    from chronoweave.plans.more_queries import t18_query_normalization
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.q for r in t18_query_normalization(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        assert got[r.doc_id] == (None if r.text is None else " ".join(unicodedata.normalize("NFKC", r.text).split()).lower())
