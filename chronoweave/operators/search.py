@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +11,17 @@ EXACT, PREFIX, SUBSTRING = 1.0, 0.8, 0.5
 SNIPPET = 240
 #: Byte sizes that part the size classes (fixed values).
 SIZE_CLASSES = ((4_096, "tiny"), (64_000, "small"), (512_000, "medium"), (5_000_000, "large"))
+#: Longest page name or link text, link address, tag and block id, and the shortest block id (fixed values).
+NAME_MAX, ADDRESS_MAX, TAG_MAX, BLOCK_MIN, BLOCK_MAX = 256, 512, 80, 3, 128
+#: The four kinds of reference by the syntax of notes: (pattern, group of the target).
 REFERENCE_PATTERNS = {
-    "wikilink": (r"\[\[([^\]\n]{1,256})\]\]", 1), "markdown-link": (r"\[[^\]\n]{1,256}\]\(([^)\s]{1,512})(?:\s+\"[^\"]*\")?\)", 1),
-    "hash-tag": (r"(?m)(^|[\s(\[{])#([A-Za-z0-9_/-]{1,80})", 2), "block-ref": (r"\(\(([A-Za-z0-9_-]{3,128})\)\)", 1),
-}
+    "wikilink": (rf"\[\[([^\]\n]{{1,{NAME_MAX}}})\]\]", 1),  # [[name]] or [[name|shown]]
+    "markdown-link": (rf"\[[^\]\n]{{1,{NAME_MAX}}}\]\(([^) \t\n]{{1,{ADDRESS_MAX}}})", 1),  # [text](address ...
+    "hash-tag": (rf"(^|[ \t\n(\[{{])#([A-Za-z0-9_/-]{{1,{TAG_MAX}}})", 2),  # #tag at the start of a word
+    "block-ref": (rf"\(\(([A-Za-z0-9_-]{{{BLOCK_MIN},{BLOCK_MAX}}})\)\)", 1),  # ((id))
+}
+#: Needles for one pass over the texts.
+NEEDLES_A_PASS = 50_000
 
 
 def name_score(name: Column, text: str) -> Column:
@@ -56,20 +64,46 @@ def tier_of(text: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], defaul
     return out.otherwise(default)
 
 
-def bait_scan(docs: DataFrame, needles: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """First offset of each needle in each text that has it (needles: item_id, text).
+def bait_scan(docs: DataFrame, needles: DataFrame, key: str = "doc_id", text: str = "text", a_pass: int = NEEDLES_A_PASS) -> DataFrame:
+    """First offset (in characters) of each needle in each text that has it as a substring.
 
-    Needles and texts are joined on the needle's first eight words, of which every window of
-    a text is a candidate, and the match is then checked in full.
+    ``needles``: item_id, text. All needles of a pass are looked for at once by an automaton, so
+    the work is linear in the texts; more needles than ``a_pass`` take more passes. Null and empty
+    needles are none; needles with equal texts are all reported.
     """
-    words = lambda t: F.filter(F.split(t, r"\s+"), lambda x: x != "")
-    head = lambda w, i: F.array_join(F.slice(w, i, 8), " ")
-    n = needles.select("item_id", F.col("text").alias("needle"), words(F.col("text")).alias("w"))
-    n = n.select("item_id", "needle", head(F.col("w"), 2).alias("k")).where("k <> ''")
-    t = docs.select(key, F.col(text).alias("_t"), words(F.col(text)).alias("w")).where(F.size("w") >= 2)
-    t = t.select(key, "_t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: head(F.col("w"), i)))).alias("k"))
-    hit = t.join(F.broadcast(n), "k").select(key, "item_id", (F.instr("_t", F.col("needle")) - 1).cast("long").alias("offset"))
-    return hit.where("offset >= 0").distinct()
+    import ahocorasick
+
+    spark = docs.sparkSession
+    wanted = needles.where("text IS NOT NULL AND text <> ''").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    passes = wanted.withColumn("pass", F.pmod(F.xxhash64("text"), F.lit(max(1, -(-wanted.count() // a_pass))))).select("pass", "item_id", "text")
+    n_passes = [r["pass"] for r in passes.select("pass").distinct().orderBy("pass").collect()]
+    rows, schema = docs.select(key, text).where(F.col(text).isNotNull()), docs.select(key).schema.add("item_id", "long").add("offset", "long")
+
+    def scan(shared):
+        def body(frames):
+            finder, ids = ahocorasick.Automaton(), {}
+            for item, needle in shared.value:
+                ids.setdefault(needle, []).append(item)
+            for needle in ids:
+                finder.add_word(needle, needle)
+            finder.make_automaton()
+            for frame in frames:
+                out = []
+                for k, whole in zip(frame[key], frame[text]):
+                    first: dict[str, int] = {}
+                    for end, needle in finder.iter(whole):
+                        first.setdefault(needle, end - len(needle) + 1)
+                    out += [(k, item, at) for needle, at in first.items() for item in ids[needle]]
+                yield pd.DataFrame(out, columns=[key, "item_id", "offset"])
+
+        return body
+
+    found = None
+    for p in n_passes:
+        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in passes.where(F.col("pass") == p).collect()])  # about a_pass of them
+        part = rows.mapInPandas(scan(shared), schema)
+        found = part if found is None else found.union(part)
+    return rows.select(key, F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("offset")).where("false") if found is None else found
 
 
 def size_class(n: Column) -> Column:
