@@ -10,6 +10,17 @@ AFFIRMING = ("assert", "correct", "reinstate", "invalidate")
 MAX_DEPTH, MAX_HOPS = 5, 32
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once: a checkpoint in the cluster's shared folder, or as it is where none is set."""
+    sc = rows.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            return rows
+        sc.setCheckpointDir(folder)
+    return rows.checkpoint()
+
+
 def affirmed(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("lineage_action").isin(*AFFIRMING))
 
@@ -34,6 +45,8 @@ def neighbors(edges: DataFrame, starts: DataFrame, direction: str = "outbound",
         steps = steps.where(F.col("predicate").isin(*predicates))
     front, found = starts.select("origin", "node"), None
     for depth in range(1, max_depth + 1):
+        if depth > 2:  # later levels would compute the earlier ones again
+            front, found = stored(front), stored(found)
         hop = front.join(steps, front["node"] == steps["here"]).select("origin", F.lit(depth).alias("depth"), "seq", "here", "there")
         hop = hop.dropDuplicates(["origin", "seq"])
         if found is not None:

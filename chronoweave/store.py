@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import access
@@ -58,7 +58,8 @@ class GraphStore:
 
     def entities(self) -> DataFrame:
         """The last image of each entity."""
-        return self.table("entities").groupBy("entity_id").agg(F.max_by(F.struct("*"), "updated_at").alias("e")).select("e.*")
+        # of equal times the image that comes last by its own fields, so that every run gives the same
+        return self.table("entities").groupBy("entity_id").agg(F.max_by(F.struct("*"), F.struct("updated_at", "display_name", "alias")).alias("e")).select("e.*")
 
     # reads
 
@@ -100,20 +101,41 @@ class GraphStore:
         return Answer(asr.read_many(self._with_id(self.log(), "assertion_id", columns), self._ids(ids), "id", ("allowed", "stub_id", *columns)))
 
     def graph_neighbors(self, entity_id: int, direction: str = "outbound", predicates: tuple[str, ...] = (), max_depth: int = 1, page_size: int = asr.PAGE_DEFAULT, q: AssertionQuery | None = None) -> Answer:
+        """Edges by breadth-first search; one that the reader may not see is a stub, and the walk goes on past it.
+
+        ``facts``: ``withheld`` edges, and ``truncated_by``: the page, the policy or the depth, the first that applies.
+        """
         rows = asr.query(self.log(), q or AssertionQuery(), self.floor).where("target IS NOT NULL")
         edges = rows.select("seq", F.col("subject").alias("src"), "predicate", F.col("target").alias("dst"), "lineage_action")
         start = self.spark.createDataFrame([(entity_id, entity_id)], "origin long, node long")
-        return Answer(graph.neighbors(edges, start, direction, predicates, max_depth, page_size))
+        size = min(page_size, self.grant.max_page)
+        ranked = graph.neighbors(edges, start, direction, predicates, max_depth, size + 1)
+        rank = F.row_number().over(Window.partitionBy("origin").orderBy("depth", "seq"))
+        ranked = ranked.withColumn("rank", rank)
+        access_of = self.log().select("seq", "assertion_id", "tier", "withheld")
+        shown = access.allowed(self.grant, F.col("tier"), F.col("withheld"))
+        page = ranked.where(F.col("rank") <= size).join(access_of, "seq").withColumn("allowed", shown).withColumn("stub_id", F.when(~shown, access.stub_id(self.grant, F.col("assertion_id"))))
+        hidden = lambda c: F.when(F.col("allowed"), F.col(c)).alias(c)
+        more = ranked.agg(F.max("rank").alias("n"), F.max("depth").alias("deepest")).first()
+        withheld = page.where("NOT allowed").count()
+        truncated = "page_size" if (more.n or 0) > size else "policy" if withheld else "max_depth" if more.deepest == max_depth else None
+        return Answer(page.select("depth", "allowed", "stub_id", hidden("seq"), hidden("here"), hidden("predicate") if "predicate" in page.columns else F.lit(None).cast("string").alias("predicate"), hidden("there")), facts={"withheld": withheld, "truncated_by": truncated, "deepest": more.deepest or 0})
 
     def text_search(self, text: str, limit: int = asr.PAGE_DEFAULT, types: tuple[str, ...] = ()) -> Answer:
         found = search.text_search(self.entities(), text, limit, types)
         return Answer(self._with_id(found, "entity_id", ("type", "display_name", "score", "basis")))
 
-    def changes_read(self, cursor: int, limit: int = asr.PAGE_DEFAULT, epoch: str | None = None) -> Answer:
+    def changes_read(self, cursor: int, limit: int = asr.PAGE_DEFAULT, epoch: str | None = None, include_records: bool = False) -> Answer:
+        """Changes after ``cursor``; with records, one that the reader may not see is a stub, so that ``seq`` has no gaps."""
         try:
-            return Answer(read_changes(self.table("assertions"), cursor, limit, self.epoch, epoch))
+            page = read_changes(self.table("assertions"), cursor, limit, self.epoch, epoch)
         except ValueError as e:
             return Answer(refusal=str(e))
+        if not include_records:
+            return Answer(page)
+        shown = self._with_id(self.log(), "assertion_id", ("subject", "predicate", "value", "target")).withColumnRenamed("id", "assertion_id")
+        rows = page.join(shown, "assertion_id", "left")
+        return Answer(rows, facts={"withheld": rows.where("NOT allowed").count()})
 
     def submission_read(self, idempotency_key: str) -> Answer:
         own = self.table("receipts").where((F.col("client_id") == self.grant.client_id) & (F.col("idempotency_key") == idempotency_key))

@@ -24,7 +24,13 @@ def test_tools_end_to_end(spark, tmp_path):
     hidden = [r for r in everything if not r.allowed]
     assert len(everything) == 3 and len(hidden) == 1 and hidden[0].subject is None
     assert store.sensitive_reveal(hidden[0].stub_id, "audit").rows.first().tier == "sealed" and store.sensitive_reveal("x", "").refusal
-    assert [r.seq for r in store.graph_neighbors(1, max_depth=2).rows.orderBy("seq").collect()] == [2, 3]
+    walk = store.graph_neighbors(1, max_depth=2)
+    assert [(r.depth, r.allowed, r.seq, r.there) for r in walk.rows.orderBy("depth").collect()] == [(1, True, 2, 2), (2, False, None, None)]
+    assert walk.facts == {"withheld": 1, "truncated_by": "policy", "deepest": 2} and walk.rows.where("NOT allowed").first().stub_id.startswith("redaction_")
+    assert store.graph_neighbors(1, max_depth=2, page_size=1).facts["truncated_by"] == "page_size"
+    assert store.graph_neighbors(1, max_depth=1).facts["truncated_by"] == "max_depth"
+    feed = store.changes_read(0, 10, include_records=True)
+    assert [(r.seq, r.allowed, r.value) for r in feed.rows.orderBy("seq").collect()] == [(1, True, "dev"), (2, True, None), (3, False, None), (4, True, "lead")] and feed.facts["withheld"] == 1
     assert [r.display_name for r in store.text_search("ann").rows.collect()] == ["Anna"]
     assert [(r.outcome, r.display_name) for r in store.entity_read(["c1", "no", "c1"]).rows.orderBy("pos").collect()] == [("ok", "Anna"), ("unknown-id", None), ("ok", "Anna")]
     assert [r.outcome for r in store.entity_resolve(["c1", "zz"]).rows.orderBy("id").collect()] == ["current", "dangling"]
