@@ -500,10 +500,10 @@ def j20_unique_titles(s, d):
 TRAITS = "SELECT 'p' || p_partkey::VARCHAR AS id, t.trait, t.value FROM part, LATERAL (SELECT unnest(['name', 'brand', 'type', 'size']) AS trait, unnest([p_name, p_brand, p_type, p_size::VARCHAR]) AS value) t"
 
 
-@query(f"WITH t AS ({TRAITS}), k AS (SELECT * FROM t WHERE id LIKE 'p1%'), o AS (SELECT * FROM t WHERE id LIKE 'p2_'), m AS (SELECT o.id, k.id AS entity FROM o JOIN k USING (trait, value) GROUP BY 1, 2 HAVING count(*) >= 3), c AS (SELECT id, count(*) AS n, min(entity) AS entity FROM m GROUP BY 1) SELECT i.id, CASE WHEN n IS NULL THEN 'mint' WHEN n = 1 THEN 'carry' ELSE 'ambiguous' END AS decision, CASE WHEN n = 1 THEN entity END AS entity FROM (SELECT DISTINCT id FROM o) i LEFT JOIN c USING (id)")
+@query(f"WITH t AS ({TRAITS}), k AS (SELECT * FROM t WHERE substr(id, 2)::INT % 2 = 1), o AS (SELECT * FROM t WHERE substr(id, 2)::INT % 2 = 0), m AS (SELECT o.id, k.id AS entity FROM o JOIN k USING (trait, value) GROUP BY 1, 2 HAVING count(*) >= 3), c AS (SELECT id, count(*) AS n, min(entity) AS entity FROM m GROUP BY 1) SELECT i.id, CASE WHEN n IS NULL THEN 'mint' WHEN n = 1 THEN 'carry' ELSE 'ambiguous' END AS decision, CASE WHEN n = 1 THEN entity END AS entity FROM (SELECT DISTINCT id FROM o) i LEFT JOIN c USING (id)")
 def j24_reidentify(s, d):
     parts = view(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.stack(F.lit(4), F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string")).alias("trait", "value"))
-    return sync.reidentify(parts.where("id LIKE 'p2_'"), parts.where("id LIKE 'p1%'"), 3)
+    return sync.reidentify(parts.where("substr(id, 2) % 2 = 0"), parts.where("substr(id, 2) % 2 = 1"), 3)
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -617,10 +617,10 @@ def g2_affirmed_edges(s, d):
     return graph.affirmed(view(s, d, "v_edges")).select("seq", "src", "dst")
 
 
-@query(f"WITH e AS (SELECT * FROM v_edges WHERE {AFFIRMED} AND src NOT LIKE 'c%'), b AS (SELECT seq, src AS here, dst AS there FROM e UNION ALL SELECT seq, dst, src FROM e), o AS (SELECT 'r' || r_regionkey::VARCHAR AS origin FROM region), h1 AS (SELECT origin, there FROM o JOIN b ON b.here = o.origin), h2 AS (SELECT h1.origin, b.there FROM h1 JOIN b ON b.here = h1.there), a AS (SELECT origin, there AS node, 1 AS depth FROM h1 UNION ALL SELECT origin, there, 2 FROM h2 WHERE there <> origin) SELECT origin, node, min(depth) AS depth FROM a WHERE origin <> node GROUP BY 1, 2", "v_edges")
+@query(f"WITH e AS (SELECT * FROM v_edges WHERE {AFFIRMED}), b AS (SELECT seq, src AS here, dst AS there FROM e UNION ALL SELECT seq, dst, src FROM e), o AS (SELECT 'r' || r_regionkey::VARCHAR AS origin FROM region), h1 AS (SELECT origin, there FROM o JOIN b ON b.here = o.origin), h2 AS (SELECT h1.origin, b.there FROM h1 JOIN b ON b.here = h1.there), a AS (SELECT origin, there AS node, 1 AS depth FROM h1 UNION ALL SELECT origin, there, 2 FROM h2 WHERE there <> origin) SELECT origin, node, min(depth) AS depth FROM a WHERE origin <> node GROUP BY 1, 2", "v_edges")
 def g3_traverse(s, d):
     regions = view(s, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("origin")).withColumn("node", F.col("origin"))
-    return graph.traverse(view(s, d, "v_edges").where("src NOT LIKE 'c%'"), regions, 2)
+    return graph.traverse(view(s, d, "v_edges"), regions, 2)
 
 
 @query("WITH RECURSIVE m AS (SELECT old_id, new_id FROM v_alias_rows WHERE disposition = 'mapped'), w AS (SELECT c_custkey AS id, c_custkey AS target, 0 AS h FROM customer UNION ALL SELECT w.id, m.new_id, h + 1 FROM w JOIN m ON m.old_id = w.target WHERE h < 32), l AS (SELECT id, arg_max(target, h) AS target FROM w GROUP BY id) SELECT l.id, l.target, coalesce(a.disposition, CASE WHEN l.id = l.target THEN 'current' ELSE 'redirected' END) AS outcome FROM l LEFT JOIN v_alias_rows a ON a.old_id = l.target".replace("WITH RECURSIVE", "WITH"), "v_alias_rows")
@@ -661,9 +661,13 @@ def t4_tier_classifier(s, d):
     return view(s, d, "documents").select("doc_id", search.tier_of(F.col("text"), (("restricted", ("the", "und")), ("sealed", ("de", "la")))).alias("tier"))
 
 
-@query("SELECT d.doc_id, b.item_id, instr(d.text, b.text) - 1 AS offset FROM documents d, benchmark b WHERE contains(d.text, b.text)")
+SHORT_NEEDLES = ((-1, "license"), (-2, "@"), (-3, " und "), (-4, "no such needle anywhere"), (-5, "###"))
+
+
+@query(f"SELECT d.doc_id, b.item_id, instr(d.text, b.text) - 1 AS offset FROM documents d, (SELECT item_id, text FROM benchmark UNION ALL VALUES {', '.join(map(str, SHORT_NEEDLES))}) b WHERE contains(d.text, b.text)")
 def t7_bait_scan(s, d):
-    return search.bait_scan(view(s, d, "documents"), view(s, d, "benchmark"))
+    short = s.createDataFrame(SHORT_NEEDLES, "item_id long, text string")
+    return search.bait_scan(view(s, d, "documents"), view(s, d, "benchmark").select(F.col("item_id").cast("long"), "text").union(short))
 
 
 @query("SELECT event_id, NOT regexp_matches(props, '[0-9]{2}') AS opaque FROM events")
@@ -676,9 +680,9 @@ def t10_markdown_summary(s, d):
     return search.markdown_summary(view(s, d, "v_markdown")).select("path", "headings", "wikilinks", "block_refs", "properties")
 
 
-@query("WITH r AS (SELECT path, 'wikilink' AS kind, lower(trim(split_part(unnest(regexp_extract_all(markdown, '\\[\\[([^\\]\\n]{1,256})\\]\\]', 1)), '|', 1))) AS target FROM v_markdown UNION ALL SELECT path, 'block-ref', lower(unnest(regexp_extract_all(markdown, '\\(\\(([A-Za-z0-9_-]{3,128})\\)\\)', 1))) FROM v_markdown) SELECT * FROM r WHERE target <> ''", "v_markdown")
+@query("WITH r AS (SELECT path, 'wikilink' AS kind, lower(trim(split_part(unnest(regexp_extract_all(markdown, '\\[\\[([^\\]\\n]{1,256})\\]\\]', 1)), '|', 1))) AS target FROM v_markdown UNION ALL SELECT path, 'block-ref', lower(unnest(regexp_extract_all(markdown, '\\(\\(([A-Za-z0-9_-]{3,128})\\)\\)', 1))) FROM v_markdown UNION ALL SELECT path, 'hash-tag', lower(unnest(regexp_extract_all(markdown, '(^|[ \\t\\n(\\[{])#([A-Za-z0-9_/-]{1,80})', 2))) FROM v_markdown UNION ALL SELECT path, 'markdown-link', lower(unnest(regexp_extract_all(markdown, '\\[[^\\]\\n]{1,256}\\]\\(([^) \\t\\n]{1,512})', 1))) FROM v_markdown) SELECT * FROM r WHERE target <> ''", "v_markdown")
 def t11_references(s, d):
-    return search.references(view(s, d, "v_markdown")).where("kind IN ('wikilink', 'block-ref')")
+    return search.references(view(s, d, "v_markdown"))
 
 
 @query("WITH r AS (SELECT path, lower(trim(split_part(unnest(regexp_extract_all(markdown, '\\[\\[([^\\]\\n]{1,256})\\]\\]', 1)), '|', 1))) AS t FROM v_markdown) SELECT path, 'wikilink' AS kind, sha256('reference:s:wikilink:' || t) AS ref_hash, count(*) AS occurrences FROM r WHERE t <> '' GROUP BY 1, 2, 3", "v_markdown")
@@ -717,10 +721,14 @@ def x_arrays(s, d):
 # incremental ----------------------------------------------------------------------------------
 
 
-@query("WITH p AS (SELECT 'client' || (event_id % 5)::VARCHAR AS client_id, 'k' || (event_id % 2000)::VARCHAR AS idempotency_key, event_type AS request_digest, event_id FROM events WHERE event_id >= 5000), r AS (SELECT 'client' || (event_id % 5)::VARCHAR AS client_id, 'k' || (event_id % 2000)::VARCHAR AS idempotency_key, event_type AS known FROM events WHERE event_id < 1500) SELECT p.event_id, CASE WHEN known IS NULL THEN 'fresh' WHEN known = request_digest THEN 'replay' ELSE 'conflict' END AS outcome FROM p LEFT JOIN r USING (client_id, idempotency_key)")
+@query("WITH p AS (SELECT 'client' || (event_id % 5)::VARCHAR AS client_id, 'k' || (event_id % 2000)::VARCHAR AS idempotency_key, event_type AS request_digest, event_id FROM events), r AS (SELECT client_id, idempotency_key, arg_min(request_digest, event_id) AS known, min(event_id) AS first FROM p GROUP BY 1, 2) SELECT event_id, CASE WHEN event_id = first THEN 'fresh' WHEN known = request_digest THEN 'replay' ELSE 'conflict' END AS outcome FROM p JOIN r USING (client_id, idempotency_key)")
 def r4_idempotent_commit(s, d):
+    """Every event proposes; the first of a key is fresh, and later ones meet its receipt."""
     e = view(s, d, "events").select(F.concat(F.lit("client"), (F.col("event_id") % 5).cast("string")).alias("client_id"), F.concat(F.lit("k"), (F.col("event_id") % 2000).cast("string")).alias("idempotency_key"), F.col("event_type").alias("request_digest"), "event_id")
-    return asr.receipts_outcome(e.where("event_id >= 5000"), e.where("event_id < 1500").drop("event_id")).select("event_id", "outcome")
+    receipts = e.groupBy("client_id", "idempotency_key").agg(F.min(F.struct("event_id", "request_digest")).alias("f"))
+    first = receipts.select(F.col("f.event_id").alias("event_id"))
+    later = asr.receipts_outcome(e.join(first, "event_id", "left_anti"), receipts.select("client_id", "idempotency_key", "f.request_digest"))
+    return later.select("event_id", "outcome").union(first.select("event_id", F.lit("fresh")))
 
 
 @query()

@@ -5,6 +5,8 @@ import pytest
 
 import chronoweave.plans.log_queries  # noqa: F401
 import chronoweave.plans.more_queries  # noqa: F401
+import chronoweave.plans.scalar_queries  # noqa: F401
+import chronoweave.plans.tool_queries  # noqa: F401
 from chronoweave.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
