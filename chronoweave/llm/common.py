@@ -35,7 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    path = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="chronoweave-")
+    path = spark.conf.get("spark.checkpoint.dir", "")
+    if not path and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = path or tempfile.mkdtemp(prefix="chronoweave-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
