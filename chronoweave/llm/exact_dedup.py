@@ -12,6 +12,7 @@ differ are then grouped by the texts themselves.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +29,19 @@ STATE_CONF = {
 HIT_BOUND = 1_000_000
 
 
-def locator(docs: DataFrame) -> Column:
-    """Where a row's content is: its file and row number, or nothing if the rows aren't from files."""
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` as rows of files, so that each has a place; written to the shared folder if they are not."""
     try:
         docs.select("_metadata.row_index").schema
-    except Exception as e:  # the hidden column exists on file scans only
-        if "_metadata" not in str(e) and "UNRESOLVED" not in str(e):
+    except AnalysisException as e:  # the hidden column exists on file scans only
+        if e.getCondition() not in ("UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION", "FIELD_NOT_FOUND"):
             raise
-        return F.lit("")
+        return written(docs, "dedup-input")
+    return docs
+
+
+def locator() -> Column:
+    """Where a row's content is: its file and row number."""
     return F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string"))
 
 
@@ -65,12 +71,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Returns doc_id, keep_id, group_size, kept, text_sha256, locator, one row per row of ``docs``. Null
     counts as empty; empty texts are equal. Of repeated rows with the largest id the one with
-    the last locator stays. Other columns are ignored; no rows give no rows. ``digest`` (a
+    the last locator stays; a null id comes before all others. Long texts are taken whole. Other columns are ignored; no rows give no rows. ``digest`` (a
     column of the normalised text ``norm``) is the state's key, SHA-256 unless given.
     """
     spark = docs.sparkSession
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), locator(docs).alias("locator"), norm.alias("norm"))
+    docs = located(docs)
+    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), locator().alias("locator"), norm.alias("norm"))
     path = fresh_path(spark, "dedup-rows")
     sha = F.sha2("norm", 256)
     hashed = full.select("doc_id", "locator", sha.alias("text_sha256"), (sha if digest is None else digest).alias("digest"))
@@ -99,8 +106,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` (read from files) without the rows that ``exact_duplicates`` does not keep."""
-    gone = written(exact_duplicates(docs, id_col, text_col).where("NOT kept").select("doc_id", "locator"), "dropped")
-    marked = docs.withColumn("_cw_locator", locator(docs))
-    gone = small(gone.toDF("_cw_gone", "_cw_gone_locator"), HIT_BOUND)
-    return marked.join(gone, (F.col(id_col) == F.col("_cw_gone")) & (F.col("_cw_locator") == F.col("_cw_gone_locator")), "left_anti").drop("_cw_locator")
+    """``docs`` without the rows that ``exact_duplicates`` does not keep; columns may have any names and are passed on."""
+    docs = located(docs)
+    gone = written(exact_duplicates(docs, id_col, text_col).where("NOT kept").select("locator"), "dropped")
+    marked = docs.select(locator().alias("locator"), F.struct("*").alias("row"))
+    return marked.join(small(gone, HIT_BOUND), "locator", "left_anti").select("row.*")

@@ -62,6 +62,14 @@ def test_exact_checks_bytes_on_colliding_digests(spark, odd):
     assert sorted(map(tuple, weak.select(*key).collect())) == sorted(map(tuple, exact_duplicates(odd).select(*key).collect()))
 
 
+def test_exact_of_rows_that_are_not_from_files(spark):
+    rows = [(1, "a", "x"), (1, "A", "x"), (1, "a", "x"), (None, "b", "x"), (None, "b", "y"), (2, "b", "z"), (3, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, locator string")
+    assert [(r.doc_id, r.group_size) for r in exact_duplicates(docs).where("kept").orderBy("doc_id").collect()] == [(1, 3), (2, 3), (3, 1)]
+    left = drop_exact_duplicates(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3]
+
+
 def test_exact_over_many_batches(spark, odd):
     """A state that is carried over micro-batches of a file each gives the same groups."""
     key = ["doc_id", "keep_id", "group_size", "kept"]
