@@ -11,6 +11,7 @@ shuffle of documents; the fitting runs on the cells alone, as window sums.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,16 +116,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", temper:
     ``temper`` names the margins; ``topic`` is derived from the text. Null margins count as
     empty strings and null texts as empty. Documents without words have probability 0. Rows
     with the same id are kept or dropped together. Columns of ``docs`` named like the new
-    ones (but for margins that it has) are replaced, ``_p`` included. Long texts count whole; no
+    ones (but for margins that it has) are replaced. Long texts count whole; no
     rows give no rows.
     """
     temper = temper or TEMPER
+    own = f"p_{uuid.uuid4().hex}"
     margins, base = [f"m_{m}" for m in temper], margins_of(docs, text_col, temper)
     raked = rake(cells_of(base, temper), temper, rounds, rate)
-    share = raked.select(*(F.col(m).alias(f"m_{m}") for m in temper), F.least(F.lit(1.0), F.lit(rate) * F.col("weight") / F.col("tokens")).alias("_p"))
+    share = raked.select(*(F.col(m).alias(f"m_{m}") for m in temper), F.least(F.lit(1.0), F.lit(rate) * F.col("weight") / F.col("tokens")).alias(own))
     out = base.join(small(written(share, "shares"), CELL_BOUND), margins, "left")
-    p = F.when(F.col("tokens") > 0, F.coalesce("_p", F.lit(0.0))).otherwise(0.0)
-    return out.withColumn("probability", p).withColumn("kept", chance(F.col(id_col)) < F.col("probability")).drop("_p")
+    p = F.when(F.col("tokens") > 0, F.coalesce(own, F.lit(0.0))).otherwise(0.0)
+    return out.withColumn("probability", p).withColumn("kept", chance(F.col(id_col)) < F.col("probability")).drop(own)
 
 
 def mix_sql(temper: dict[str, float], rate: float, rounds: int) -> str:
