@@ -289,7 +289,10 @@ def fallback_values(counts: DataFrame, unseen: DataFrame, order: int = ORDER) ->
             node = node.select("node", "total", "kinds", (F.col("parent_total") - F.col("gone")).alias("left"), (F.col("parent_kinds") - F.col("kinds")).alias("left_kinds"))
         else:
             node = node.select("node", "total", "kinds", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("left_kinds"))
-        out = out.withColumn("short", short).join(tables[k].toDF("short", f"n{k}"), "short", "left").drop("short")
+        # few contexts are this short, so they are hot keys; the alphabet bounds them: 258 of one symbol, 66,564 of two
+        own = F.broadcast(tables[k]) if k < 2 else tables[k]
+        out = out.withColumn("short", short).join(own.toDF("short", f"n{k}"), "short", "left").drop("short")
+        node = F.broadcast(written(node, "lm-nodes")) if k < 3 else node
         out = out.withColumn("node", F.shiftright(short, BITS)).join(node.toDF("node", f"total{k}", f"kinds{k}", f"left{k}", f"left_kinds{k}"), "node", "left").drop("node")
         out = written(out, "lm-unseen")
 
