@@ -27,6 +27,16 @@ def test_chat_odd_rows(spark):
     assert rotate(turns.where("conv_id > 5")).count() == 0
 
 
+def test_long_dialogues_carry_context(spark):
+    """Every turn is learned from once by its speaker, and a part begins with the end of the one before."""
+    said = [(1, k, ("ann", "bob")[k % 2], f"turn {k}") for k in range(200)]
+    got = {(r.perspective, r.part): r for r in rotate(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == 8 and sum(r.turns for (who, _), r in got.items() if who == "ann") == 200
+    learned = [r.text[int(a) : int(b)] for (who, _), r in got.items() if who == "bob" for a, b in (x.split("-") for x in r.mask.split(","))]
+    assert sorted(learned) == sorted(f"turn {k}<|end|>\n" for k in range(1, 200, 2))
+    assert got["ann", 1].text.startswith("<|assistant|>\nturn 56<|end|>\n") and got["ann", 0].text.startswith("<|assistant|>\nturn 0<|end|>\n")
+
+
 def test_raking_meets_the_margins(spark):
     cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 50), ("b", "x", 10), ("b", "y", 40)], "source string, lang string, tokens long")
     got = rake(cells, {"source": 0.5, "lang": 0.0}, rounds=30, rate=0.1).collect()
