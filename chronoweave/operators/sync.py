@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.graph import stored
+
 
 def committed_objects(objects: DataFrame, batches: DataFrame, after: int, upto: int) -> DataFrame:
     """Objects of committed batches in a range of generations."""
@@ -77,7 +79,7 @@ def stride_sample(rows: DataFrame, order: str, n: int, total: int) -> DataFrame:
 
 def global_rank(rows: DataFrame, order: str) -> DataFrame:
     """``rank`` from 0 over the whole order: range partitions, ranks within them, offsets by their sizes."""
-    parts = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).persist()
+    parts = stored(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))  # both uses must see the same ranges
     sizes = parts.groupBy("_p").agg(F.count("*").alias("c"))
     before = sizes.select("_p", (F.sum("c").over(Window.orderBy("_p")) - F.col("c")).alias("o"))
     return parts.join(F.broadcast(before), "_p").withColumn("rank", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1 + F.col("o")).drop("_p", "o")
