@@ -53,7 +53,7 @@ def encoder(path: str) -> "Encoder":
 class Encoder:
     """Ids of a byte-level BPE vocabulary, and the places where two encodings may be joined."""
 
-    def __init__(self, path: str, memo_limit: int = 250_000, block_chars: int = 1 << 20):
+    def __init__(self, path: str, memo_limit: int = 250_000, block_chars: int = 1 << 19):
         import tiktoken
         from tokenizers import Tokenizer
 
