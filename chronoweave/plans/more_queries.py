@@ -304,12 +304,6 @@ def w2_monotone_time(s, d):
     return log(s, d).select("subject", "seq", (F.unix_seconds(F.col("recorded_at").cast("timestamp")) + nth).cast("long").alias("monotone"))
 
 
-@query("SELECT stream, source_event_id, lag(sha256(source_event_id)) OVER (PARTITION BY stream ORDER BY recorded_at, source_event_id) AS previous_hash FROM v_replay", "v_replay")
-def w4_audit_chain(s, d):
-    w = Window.partitionBy("stream").orderBy("recorded_at", "source_event_id")
-    return view(s, d, "v_replay").select("stream", "source_event_id", F.lag(F.sha2("source_event_id", 256)).over(w).alias("previous_hash"))
-
-
 @query("SELECT authority, max(ordinal + size)::BIGINT AS next_offset FROM v_objects GROUP BY 1", "v_objects")
 def w10_next_offset(s, d):
     return view(s, d, "v_objects").groupBy("authority").agg(F.max(F.col("ordinal") + F.col("size")).alias("next_offset"))
@@ -402,14 +396,6 @@ def e5_title_placement(s, d):
     return n.withColumn("outcome", F.when(F.col("employers") == 1, "placed").when(F.col("employers") == 0, "no-employer").otherwise("many-employers"))
 
 
-@query("SELECT 'dangling-source' AS finding, seq FROM v_edges WHERE src NOT IN (SELECT entity_id FROM v_entities) UNION ALL SELECT 'retracted', seq FROM v_edges WHERE lineage_action = 'retract'", "v_edges", "v_entities")
-def e9_closure_findings(s, d):
-    e = view(s, d, "v_edges")
-    known = view(s, d, "v_entities").select(F.col("entity_id").alias("src"))
-    gone = e.join(known, "src", "left_anti").select(F.lit("dangling-source").alias("finding"), "seq")
-    return gone.union(e.where("lineage_action = 'retract'").select(F.lit("retracted").alias("finding"), "seq"))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'rich' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'legacy' ELSE 'incomplete' END AS mode FROM documents")
 def e12_review_mode(s, d):
     q = view(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))

@@ -67,8 +67,58 @@ VIEWS = {
         SELECT 'doc/' || CAST(doc_id AS STRING) AS path, '# Title ' || CAST(doc_id AS STRING) || chr(10) || 'type:: note' || chr(10) || '- see [[Page ' || CAST(doc_id % 50 AS STRING)
                || '|alias]] and [[Other ' || CAST(doc_id % 7 AS STRING) || ']] #tag' || CAST(doc_id % 5 AS STRING) || ' ((ref-' || CAST(doc_id % 13 AS STRING) || '))' || chr(10)
                || '  - [link](http://x.example/' || CAST(doc_id AS STRING) || ') ' || coalesce(text, '') AS markdown FROM documents""",
+    # a migration plan: an outcome for each order, a record for each line
+    "v_plan_outcomes": """
+        SELECT 'o' || CAST(o_orderkey AS STRING) AS legacy_id, CASE WHEN o_orderkey % 401 = 0 THEN 'other' WHEN o_orderstatus = 'F' THEN 'entity' ELSE 'relationship' END AS category,
+               CASE WHEN o_orderkey % 307 = 0 THEN 'other' WHEN o_orderkey % 11 = 0 THEN 'refused' ELSE 'projected' END AS disposition,
+               CASE WHEN o_orderkey % 11 = 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'other' WHEN 1 THEN 'unclassified-source-category' ELSE 'quarantined' END END AS reason,
+               CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'terminal' ELSE 'record' END AS alias_kind FROM orders""",
+    "v_plan_records": """
+        SELECT 'k' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS record_key,
+               CASE l_linenumber WHEN 1 THEN 'entity' WHEN 2 THEN 'minted-entity' WHEN 5 THEN 'minted-relationship' WHEN 6 THEN 'retraction' WHEN 7 THEN 'provisional-block' ELSE 'relationship' END AS kind,
+               CASE WHEN l_linenumber <= 2 THEN 's' || CAST(l_partkey AS STRING) END AS slot,
+               CASE WHEN l_linenumber IN (3, 4, 5) THEN 's' || CAST(l_partkey AS STRING) END AS source_slot,
+               CASE WHEN l_linenumber IN (3, 4, 5) THEN 's' || CAST(l_partkey + 3 AS STRING) END AS target_slot,
+               CASE WHEN l_linenumber = 6 THEN 'k' || CAST(l_orderkey AS STRING) || '-1' END AS retracts, l_linenumber NOT IN (2, 5) AS from_legacy,
+               CASE WHEN l_linenumber <= 2 AND l_suppkey % 3 = 0 THEN CASE l_suppkey % 4 WHEN 0 THEN 'role' WHEN 1 THEN 'kind' WHEN 2 THEN 'subject' ELSE 'other' END END AS scheme,
+               CASE WHEN l_linenumber <= 2 AND l_partkey % 61 <> 0 THEN 'Word  ' || CAST(l_partkey % 900 AS STRING) END AS name,
+               CASE WHEN l_linenumber = 2 THEN 'minted-from-subtype' ELSE 'projected-from-corpus' END AS mechanism,
+               CASE WHEN l_linenumber = 7 THEN 'block ' || CAST(l_partkey AS STRING) END AS text FROM lineitem""",
+    "v_plan_claims": """
+        SELECT 'o' || CAST(l_orderkey AS STRING) AS legacy_id, 'k' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS record_key FROM lineitem
+        WHERE (l_linenumber NOT IN (2, 5) AND l_orderkey % 89 <> 0) OR (l_linenumber = 2 AND l_orderkey % 101 = 0)
+        UNION ALL SELECT 'o' || CAST(o_orderkey AS STRING), 'k' || CAST(o_orderkey AS STRING) || '-9' FROM orders WHERE o_orderkey % 211 = 0""",
+    "v_plan_aliases": """
+        SELECT 'o' || CAST(o_orderkey AS STRING) AS legacy_id, 'k' || CAST(o_orderkey AS STRING) || '-1' AS record_key FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 97 <> 0""",
+    # what the store holds of that plan after a run that lost and changed some of it
+    "v_store_records": """
+        SELECT CASE WHEN l_orderkey % 67 = 1 THEN record_key || 'x' ELSE record_key END AS record_key, kind, source_slot, target_slot,
+               CASE WHEN l_orderkey % 71 = 0 THEN 'renamed' ELSE name END AS name, CASE WHEN l_orderkey % 59 = 0 THEN text || '?' ELSE text END AS text
+        FROM (SELECT *, CAST(substr(record_key, 2, length(record_key) - 3) AS BIGINT) AS l_orderkey FROM v_plan_records) r WHERE l_orderkey % 73 <> 0""",
+    "v_store_aliases": """
+        SELECT legacy_id, CASE WHEN alias_kind = 'terminal' OR n % 103 = 0 THEN 'terminal' ELSE 'mapped' END AS disposition
+        FROM (SELECT *, CAST(substr(legacy_id, 2) AS BIGINT) AS n FROM v_plan_outcomes) o WHERE alias_kind IS NOT NULL AND n % 83 <> 0""",
+    # five objects of each customer's store; orders are transactions on it, with their lines as writes
+    "v_envelopes": """
+        SELECT c_custkey AS authority, 'b' || CAST(k AS STRING) AS object_id, 1 + (c_custkey + k) % 3 AS version, (c_custkey + k) % 7 = 0 AS tombstone
+        FROM customer CROSS JOIN (SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey < 5) n WHERE (c_custkey + k) % 3 <> 0""",
+    "v_writes": """
+        SELECT o_orderkey AS tx, o_custkey AS authority, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS item,
+               CASE WHEN (o_custkey + l_partkey % 5) % 3 = 0 THEN CASE WHEN l_suppkey % 5 = 0 THEN 'update' ELSE 'create' END ELSE CASE WHEN l_suppkey % 7 = 0 THEN 'create' ELSE 'update' END END AS kind,
+               'b' || CAST(l_partkey % 5 AS STRING) AS object_id, CASE WHEN l_suppkey % 23 = 0 THEN o_custkey + 1 ELSE o_custkey END AS object_authority,
+               CASE WHEN l_suppkey % 2 = 0 THEN 1 + (o_custkey + l_partkey % 5) % 3 END AS expected_version, CASE WHEN l_suppkey % 11 = 0 THEN 9 ELSE 2 + (o_custkey + l_partkey % 5) % 3 END AS new_version
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
+    "v_transactions": """
+        SELECT o_orderkey AS tx, o_custkey AS authority, o_orderkey AS pos, 'i' || CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) AS idempotency_key, o_orderpriority AS fingerprint,
+               CASE WHEN o_orderkey % 9 = 8 THEN 4 WHEN o_orderkey % 13 = 12 THEN 2 ELSE 3 END AS expected_generation FROM orders""",
+    "v_operation_records": """
+        SELECT o_custkey AS authority, 'i' || CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) AS idempotency_key, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE 'changed' END AS fingerprint, 1 AS generation
+        FROM orders WHERE o_orderkey % 10 = 4""",
+    "v_redirect_requests": """
+        SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 5 = 0 THEN 'split' WHEN o_orderkey % 7 = 0 THEN 'disposition' ELSE 'merge' END AS action, o_custkey AS old_id,
+               CASE WHEN o_orderkey % 19 = 0 THEN o_custkey ELSE (o_custkey * 3 + o_orderkey) % 2000 END AS into, o_orderkey % 4 AS candidates, o_orderkey % 6 = 1 AS missing FROM orders""",
 }
-NEEDS = {"v_batches": ("v_objects",)}
+NEEDS = {"v_batches": ("v_objects",), "v_store_records": ("v_plan_records",), "v_store_aliases": ("v_plan_outcomes",)}
 
 
 def chain(*names: str) -> list[str]:
