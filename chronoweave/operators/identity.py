@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from chronoweave.operators.graph import resolve
 
 
+#: Refusals that an earlier request of the same batch cannot change.
+FINAL = ("merge-into-self", "split-needs-two-candidates", "alias-already-redirected")
+
+
 def verdicts(rows: DataFrame, live: DataFrame, requests: DataFrame) -> DataFrame:
     """``requests`` with ``verdict``, and ``target``: the live entity a merge ends at.
 
@@ -15,7 +19,7 @@ def verdicts(rows: DataFrame, live: DataFrame, requests: DataFrame) -> DataFrame
     a split names), missing (whether one of them is not held). ``rows``: old_id, new_id, disposition; ``live``: id.
     All are judged against the rows as they stand. Of requests that touch each other (the same id,
     or one's id is where another ends) only the first is judged, the others are ``deferred`` to the next
-    batch; so accepted rows cannot close a cycle together, and each batch settles its first request.
+    batch unless their refusal is final; so accepted rows cannot close a cycle together, and each batch settles its first request.
     """
     asked = requests.where("action = 'merge'").select(F.col("into").alias("id")).distinct()
     ends = resolve(rows, asked, live).select(F.col("id").alias("into"), F.col("target"), F.col("outcome"))
@@ -35,7 +39,7 @@ def verdicts(rows: DataFrame, live: DataFrame, requests: DataFrame) -> DataFrame
     as_ = lambda side, key, name, p: side.select(F.col(key).alias(name), F.col("p").alias(p))
     # the first positions at which the request's id is redirected, its end is redirected, or its id is an end
     met = judged.join(as_(sources, "old_id", "old_id", "p1"), "old_id", "left").join(as_(sources, "old_id", "target", "p2"), "target", "left").join(as_(sinks, "target", "old_id", "p3"), "old_id", "left")
-    late = (F.col("verdict") == "accepted") & (F.coalesce(F.least("p1", "p2", "p3"), F.col("pos")) < F.col("pos"))
+    late = ~F.col("verdict").isin(*FINAL) & (F.coalesce(F.least("p1", "p2", "p3"), F.col("pos")) < F.col("pos"))
     return met.select(*requests.columns, F.when(late, "deferred").otherwise(F.col("verdict")).alias("verdict"), "target")
 
 

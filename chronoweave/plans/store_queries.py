@@ -113,7 +113,7 @@ def e22_resolution_receipts(s, d):
     r AS (SELECT r.pos, r.action, r.old_id, e.target, CASE WHEN action = 'merge' AND r.old_id = r.into THEN 'merge-into-self' WHEN action = 'split' AND candidates < 2 THEN 'split-needs-two-candidates'
       WHEN r.old_id IN (SELECT old_id FROM v_alias_rows) THEN 'alias-already-redirected' WHEN action = 'split' AND missing THEN 'split-candidate-unresolvable' WHEN action = 'merge' AND e.target IS NULL THEN 'merge-target-unresolvable'
       WHEN action = 'merge' AND e.target = r.old_id THEN 'merge-would-create-cycle' ELSE 'accepted' END AS v FROM v_redirect_requests r LEFT JOIN e ON e.id = r.into AND r.action = 'merge')
-    SELECT r.pos, r.old_id, CASE WHEN v = 'accepted' AND EXISTS (FROM r q WHERE q.v = 'accepted' AND q.pos < r.pos AND (q.old_id = r.old_id OR q.old_id = r.target OR q.target = r.old_id)) THEN 'deferred' ELSE v END AS verdict FROM r""".replace("WITH RECURSIVE", "WITH"), "v_alias_rows", "v_redirect_requests")
+    SELECT r.pos, r.old_id, CASE WHEN v NOT IN ('merge-into-self', 'split-needs-two-candidates', 'alias-already-redirected') AND EXISTS (FROM r q WHERE q.v = 'accepted' AND q.pos < r.pos AND (q.old_id = r.old_id OR q.old_id = r.target OR q.target = r.old_id)) THEN 'deferred' ELSE v END AS verdict FROM r""".replace("WITH RECURSIVE", "WITH"), "v_alias_rows", "v_redirect_requests")
 def g5_redirect_requests(s, d):
     live = view(s, d, "customer").select(F.col("c_custkey").alias("id"))
     return identity.verdicts(view(s, d, "v_alias_rows"), live, view(s, d, "v_redirect_requests")).select("pos", "old_id", "verdict")
