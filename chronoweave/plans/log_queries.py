@@ -40,13 +40,6 @@ def s9_fetch_by_key(s, d):
     return view(s, d, "orders").join(c, "o_custkey").select("o_orderkey", "c_name")
 
 
-@query("SELECT o.ordinal, o.version, CASE WHEN o.version < m.v THEN 'stale' WHEN o.tombstone = 1 THEN 'tombstone' ELSE 'write' END AS outcome FROM v_objects o JOIN (SELECT ordinal, max(version) AS v FROM v_objects GROUP BY 1) m USING (ordinal)", "v_objects")
-def k4_versioned_mutations(s, d):
-    newest = F.max("version").over(Window.partitionBy("ordinal"))
-    out = view(s, d, "v_objects").withColumn("v", newest)
-    return out.select("ordinal", "version", F.when(F.col("version") < F.col("v"), "stale").when(F.col("tombstone") == 1, "tombstone").otherwise("write").alias("outcome"))
-
-
 @query("SELECT key_ref, count(*) AS upserted, max(generation) AS generation FROM (SELECT * FROM v_objects QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY generation DESC, version DESC, object_ref DESC, size DESC, key_ref DESC) = 1) GROUP BY 1", "v_objects")
 def k7_upsert(s, d):
     last = sync.latest(view(s, d, "v_objects"), "ordinal", "generation", "version", "object_ref", "size", "key_ref")
@@ -136,13 +129,6 @@ def j22_collision_safe(s, d):
     return e.join(first, "t").select("entity_id", F.when(F.col("t") == "", "empty").when(F.col("entity_id") != F.col("first"), "collision").otherwise("projected").alias("state"))
 
 
-@query("SELECT 'customer' AS reference, count(*) AS dead FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 11 <> 0) UNION ALL SELECT 'label', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 13 <> 0)")
-def j32_mutation_set(s, d):
-    refs = view(s, d, "orders").select(F.lit("customer").alias("reference"), F.col("o_custkey").alias("id")).union(view(s, d, "labels").select(F.lit("label"), "doc_id"))
-    live = view(s, d, "customer").where("c_custkey % 11 <> 0").select(F.lit("customer").alias("reference"), F.col("c_custkey").alias("id")).union(view(s, d, "documents").where("doc_id % 13 <> 0").select(F.lit("label"), "doc_id"))
-    return refs.join(live, ["reference", "id"], "left_anti").groupBy("reference").agg(F.count("*").alias("dead"))
-
-
 @query("SELECT count(*) AS pages, sum(len(regexp_extract_all(markdown, '\\[\\[([^\\]\\n]{1,256})\\]\\]')))::BIGINT AS links, sum(len(regexp_extract_all(markdown, '(?m)^[ \\t]*[A-Za-z0-9_-]+::')))::BIGINT AS properties FROM v_markdown", "v_markdown")
 def a18_inventory(s, d):
     return search.markdown_summary(view(s, d, "v_markdown")).agg(F.count("*").alias("pages"), F.sum("wikilinks").alias("links"), F.sum("properties").alias("properties"))
@@ -297,17 +283,6 @@ def e10_apply_plan(s, d):
     return asr.receipts_outcome(plan, done).select("seq", "outcome")
 
 
-@query("SELECT 'documents' AS component, count(*) > 0 AS ready FROM documents UNION ALL SELECT 'labels', count(*) > 100000 FROM labels UNION ALL SELECT 'edges', count(*) > 0 FROM v_edges", "v_edges")
-def e16_readiness(s, d):
-    check = lambda name, rows, n: rows.agg(F.lit(name).alias("component"), (F.count("*") > n).alias("ready"))
-    return check("documents", view(s, d, "documents"), 0).union(check("labels", view(s, d, "labels"), 100000)).union(check("edges", view(s, d, "v_edges"), 0))
-
-
-@query("SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0 ORDER BY doc_id LIMIT 100")
-def e14_auto_apply(s, d):
-    return view(s, d, "labels").where("quality = 1 AND toxic = 0").orderBy("doc_id").limit(100).select("doc_id")
-
-
 @query("SELECT event_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'promote' ELSE 'quarantine' END AS decision FROM events")
 def e21_enrichment_import(s, d):
     return view(s, d, "events").select("event_id", F.when(F.col("event_type").isin("signup", "purchase"), "promote").otherwise("quarantine").alias("decision"))

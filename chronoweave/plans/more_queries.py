@@ -131,22 +131,6 @@ def j13_legacy_resolution(s, d):
     return rows.join(stored, "old_id").where("disposition <> stored").select("old_id", F.col("disposition").alias("planned"), "stored")
 
 
-@query("SELECT doc_id FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
-def j17_unrepresented(s, d):
-    return view(s, d, "labels").where("quality = 1").join(view(s, d, "documents").where("lang = 'en'"), "doc_id", "left_anti").select("doc_id")
-
-
-@query("SELECT 'nation' AS kind, count(*) AS broken FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 7 <> 0) UNION ALL SELECT 'part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) UNION ALL SELECT 'customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
-def j18_reference_integrity(s, d):
-    def broken(rows, key, target, name):
-        return rows.select(F.col(key).alias("k")).join(target.toDF("k"), "k", "left_anti").agg(F.lit(name).alias("kind"), F.count("*").alias("broken"))
-
-    t = lambda name: view(s, d, name)
-    out = broken(t("customer"), "c_nationkey", t("nation").where("n_nationkey % 7 <> 0").select("n_nationkey"), "nation")
-    out = out.union(broken(t("lineitem"), "l_partkey", t("part").where("p_size > 5").select("p_partkey"), "part"))
-    return out.union(broken(t("orders"), "o_custkey", t("customer").select("c_custkey"), "customer"))
-
-
 @query("WITH u AS (SELECT lower(display_name) AS title, min(entity_id) AS entity_id FROM v_entities GROUP BY 1 HAVING count(DISTINCT entity_id) = 1), r AS (SELECT 'Customer#' || lpad((n * 13)::VARCHAR, 9, '0') AS ref FROM range(200) t(n)) SELECT r.ref, u.entity_id FROM r LEFT JOIN u ON u.title = lower(r.ref)", "v_entities")
 def j21_reference_to_entity(s, d):
     unique = sync.unique_titles(view(s, d, "v_entities").withColumn("title", F.lower("display_name")), ("title",), "entity_id")
@@ -186,14 +170,6 @@ def j30_rekey(s, d):
     return s.range(60).toDF("k").join(g, "k", "left").select("k", F.when(F.col("n") == 1, "rekeyed").when(F.col("n") > 1, "ambiguous").otherwise("unknown-group").alias("state"))
 
 
-@query("WITH r AS (SELECT doc_id AS k FROM labels), g AS (SELECT doc_id AS k FROM documents WHERE doc_id % 3 = 0) SELECT CASE WHEN r.k IS NULL THEN 'unresolved' WHEN g.k IS NULL THEN 'unknown' ELSE 'matched' END AS state, count(*) AS n FROM (SELECT DISTINCT k FROM r) r FULL JOIN g ON r.k = g.k GROUP BY 1")
-def j31_resolutions_vs_groups(s, d):
-    r = view(s, d, "labels").select(F.col("doc_id").alias("k")).distinct().withColumn("r", F.lit(1))
-    g = view(s, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("k"), F.lit(1).alias("g"))
-    state = F.when(F.col("r").isNull(), "unresolved").when(F.col("g").isNull(), "unknown").otherwise("matched")
-    return r.join(g, "k", "full").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT d.lang, count(*) AS candidates FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AND d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1")
 def j33_review_packet(s, d):
     labels = view(s, d, "labels")
@@ -260,12 +236,6 @@ def a27_breakdown(s, d):
     return universe.join(n, "category", "left").select("category", "pos", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("WITH c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN n IS NULL THEN 'unclaimed' WHEN n > 15 THEN 'claimed-often' ELSE 'claimed' END AS state FROM customer LEFT JOIN c ON k = c_custkey")
-def a29_record_accounting(s, d):
-    n = view(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    return view(s, d, "customer").join(n, "c_custkey", "left").select("c_custkey", F.when(F.col("n").isNull(), "unclaimed").when(F.col("n") > 15, "claimed-often").otherwise("claimed").alias("state"))
-
-
 @query("SELECT predicate, count(*) AS edges, count(DISTINCT dst) AS targets FROM v_edges GROUP BY 1", "v_edges")
 def a31_edge_breakdown(s, d):
     return view(s, d, "v_edges").groupBy("predicate").agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("targets"))
@@ -396,18 +366,6 @@ def e5_title_placement(s, d):
     return n.withColumn("outcome", F.when(F.col("employers") == 1, "placed").when(F.col("employers") == 0, "no-employer").otherwise("many-employers"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'rich' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'legacy' ELSE 'incomplete' END AS mode FROM documents")
-def e12_review_mode(s, d):
-    q = view(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    return view(s, d, "documents").join(q, "doc_id", "left").select("doc_id", F.when(F.col("q") == 1, "rich").when(F.col("q").isNotNull(), "legacy").otherwise("incomplete").alias("mode"))
-
-
-@query("SELECT proposal, min(rank) AS lowest, count(*) AS results FROM (SELECT user_id AS proposal, CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS rank FROM events) GROUP BY 1")
-def e15_lowest_confidence(s, d):
-    rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", 1).otherwise(2)
-    return view(s, d, "events").groupBy(F.col("user_id").alias("proposal")).agg(F.min(rank).alias("lowest"), F.count("*").alias("results"))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'unknown-id' END AS outcome, pos FROM (SELECT n AS pos, n AS doc_id FROM range(100) t(n))")
 def e17_batch_items(s, d):
     known = view(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("hit"))

@@ -380,12 +380,6 @@ def a26_dominant_value(s, d):
     return counts.groupBy("subject").agg(F.max_by("value", F.struct("c", (-F.ascii("value")).alias("a"))).alias("dominant"), F.max("c").alias("n"))
 
 
-@query("SELECT count(*) AS source, count(*) FILTER (kind = 'fact') AS facts, count(*) FILTER (kind = 'relationship') AS relationships, count(*) = count(*) FILTER (kind = 'fact') + count(*) FILTER (kind = 'relationship') AS closes FROM v_assertions", "v_assertions")
-def a28_closure_arithmetic(s, d):
-    fact, rel = F.count_if(F.col("kind") == "fact"), F.count_if(F.col("kind") == "relationship")
-    return log(s, d).agg(F.count("*").alias("source"), fact.alias("facts"), rel.alias("relationships"), (F.count("*") == fact + rel).alias("closes"))
-
-
 @query("""WITH r AS (SELECT user_id AS proposal, event_id % 6 AS g, event_id % 200 <> 7 AS high, event_id % 300 <> 11 AS ok, CASE event_id % 250 WHEN 3 THEN 'refutes' ELSE CASE WHEN event_id % 4 = 0 THEN 'supports' ELSE 'context' END END AS stance, CASE event_id % 40 WHEN 4 THEN 'public-web' WHEN 8 THEN 'linkedin' ELSE 'calendar' END AS kind FROM events),
     g AS (SELECT proposal, g, bool_or(stance = 'supports' AND kind = 'public-web') AS p, bool_or(stance = 'supports' AND kind = 'linkedin') AS l, bool_or(NOT high) AS a, bool_or(NOT ok) AS c, bool_or(stance = 'refutes') AS r FROM r GROUP BY ALL),
     x AS (SELECT proposal, count(*) AS independent_groups, CASE WHEN bool_or(a) THEN 'identity-ambiguous' WHEN bool_or(c) THEN 'proposal-conflict' WHEN bool_or(r) THEN 'evidence-conflict' WHEN count(*) FILTER (p) >= 2 THEN 'qualifies-two-independent-public' WHEN count(*) FILTER (p) >= 1 AND count(*) FILTER (l AND NOT p) >= 1 THEN 'qualifies-linkedin-plus-independent' ELSE 'insufficient-evidence' END AS reason FROM g GROUP BY proposal)
@@ -442,13 +436,6 @@ def g9_lineage(s, d):
     return asr.lineage(log(s, d))
 
 
-@query("SELECT seq, superseded_by FROM v_assertions a WHERE superseded_by IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_assertions b WHERE b.seq = a.superseded_by AND b.lineage_action <> 'retract')", "v_assertions")
-def j5_supersedes_validity(s, d):
-    rows = log(s, d)
-    ok = rows.where("lineage_action <> 'retract'").select(F.col("seq").alias("superseded_by"))
-    return rows.where("superseded_by IS NOT NULL").join(ok, "superseded_by", "left_anti").select("seq", "superseded_by")
-
-
 @query("WITH a AS (SELECT client_id, count(*) AS calls FROM v_requests GROUP BY 1), m AS (SELECT client_id, count(*) AS metered FROM v_requests WHERE request_id % 17 <> 0 GROUP BY 1) SELECT a.client_id, calls, coalesce(metered, 0) AS metered, calls - coalesce(metered, 0) AS delta, abs(calls - coalesce(metered, 0)) <= 4 AS reconciled FROM a LEFT JOIN m ON a.client_id IS NOT DISTINCT FROM m.client_id", "v_requests")
 def j8_usage_reconciliation(s, d):
     r = view(s, d, "v_requests")
@@ -456,12 +443,6 @@ def j8_usage_reconciliation(s, d):
     return replay.reconcile_usage(count(r), count(r.where("request_id % 17 <> 0")), 4)
 
 
-@query("SELECT e.seq, e.predicate, coalesce(n.type, 'dangling') AS source_type FROM v_edges e LEFT JOIN v_entities n ON n.entity_id = e.src", "v_edges", "v_entities")
-def j9_endpoint_typing(s, d):
-    types = view(s, d, "v_entities").select(F.col("entity_id").alias("src"), "type")
-    return view(s, d, "v_edges").join(types, "src", "left").select("seq", "predicate", F.coalesce("type", F.lit("dangling")).alias("source_type"))
-
-
 PRIOR, CURRENT = "doc_id % 10 <> 3", "doc_id % 10 <> 7"
 CHANGED = "CASE WHEN doc_id % 10 = 5 THEN sha256(text || '!') ELSE sha256(text) END"
 
@@ -772,11 +753,6 @@ def e7_retractions(s, d):
     return asr.gapless_seq(log(s, d).where("lineage_action = 'retract'"), "subject", ("seq",)).select("seq", F.col("seq_no").cast("long").alias("retraction"))
 
 
-@query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'keep' WHEN toxic = 1 THEN 'defer' ELSE 'research' END AS decision FROM labels")
-def e13_review_decisions(s, d):
-    return view(s, d, "labels").select("doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "keep").when(F.col("toxic") == 1, "defer").otherwise("research").alias("decision"))
-
-
 @query("SELECT doc_id, CASE WHEN text IS NULL THEN 'unreadable' WHEN length(trim(text)) = 0 THEN 'empty' WHEN strlen(text) > 16384 THEN 'oversized' ELSE 'ready' END AS status FROM documents")
 def e18_manifest(s, d):
     t = F.col("text")

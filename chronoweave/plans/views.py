@@ -103,7 +103,7 @@ VIEWS = {
         SELECT c_custkey AS authority, 'b' || CAST(k AS STRING) AS object_id, 1 + (c_custkey + k) % 3 AS version, (c_custkey + k) % 7 = 0 AS tombstone
         FROM customer CROSS JOIN (SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey < 5) n WHERE (c_custkey + k) % 3 <> 0""",
     "v_writes": """
-        SELECT o_orderkey AS tx, o_custkey AS authority, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS item,
+        SELECT o_orderkey AS tx, o_custkey AS authority, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS BIGINT) AS item,
                CASE WHEN (o_custkey + l_partkey % 5) % 3 = 0 THEN CASE WHEN l_suppkey % 5 = 0 THEN 'update' ELSE 'create' END ELSE CASE WHEN l_suppkey % 7 = 0 THEN 'create' ELSE 'update' END END AS kind,
                'b' || CAST(l_partkey % 5 AS STRING) AS object_id, CASE WHEN l_suppkey % 23 = 0 THEN o_custkey + 1 ELSE o_custkey END AS object_authority,
                CASE WHEN l_suppkey % 2 = 0 THEN 1 + (o_custkey + l_partkey % 5) % 3 END AS expected_version, CASE WHEN l_suppkey % 11 = 0 THEN 9 ELSE 2 + (o_custkey + l_partkey % 5) % 3 END AS new_version
@@ -117,6 +117,18 @@ VIEWS = {
     "v_redirect_requests": """
         SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 5 = 0 THEN 'split' WHEN o_orderkey % 7 = 0 THEN 'disposition' ELSE 'merge' END AS action, o_custkey AS old_id,
                CASE WHEN o_orderkey % 19 = 0 THEN o_custkey ELSE (o_custkey * 3 + o_orderkey) % 2000 END AS into, o_orderkey % 4 AS candidates, o_orderkey % 6 = 1 AS missing FROM orders""",
+    # orders under review, with their lines as proposals
+    "v_review_items": """
+        SELECT o_orderkey AS review_id, CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'owner-review' ELSE 'research' END AS state, o_orderkey % 29 <> 0 AS exact_preserved,
+               CASE WHEN o_orderkey % 31 = 0 THEN 1 ELSE 0 END AS missing_references, CASE WHEN o_orderkey % 37 = 0 THEN 1 ELSE 0 END AS unmapped, 1 + o_orderkey % 3 AS version, 1 + o_orderkey % 2 AS units FROM orders""",
+    "v_review_proposals": """
+        SELECT l_orderkey AS review_id, 'k' || CAST(l_partkey AS STRING) AS object_id, CASE WHEN l_suppkey % 19 = 0 THEN 'fact' ELSE 'observation' END AS kind, l_suppkey % 41 <> 0 AS found FROM lineitem""",
+    "v_review_parity": """
+        SELECT l_orderkey AS review_id, CASE WHEN l_suppkey % 43 = 0 THEN 'needs-review' ELSE 'represented' END AS coverage, 'observation' AS representation, 'k' || CAST(l_partkey AS STRING) AS object_id
+        FROM lineitem WHERE l_suppkey % 19 <> 0""",
+    "v_review_units": """
+        SELECT l_orderkey AS review_id, l_orderkey % 2 * (l_partkey % 2) AS unit, l_orderkey % 5 <> 2 AS has_evidence, CASE WHEN l_suppkey % 19 <> 0 AND l_suppkey % 17 <> 0 THEN 'k' || CAST(l_partkey AS STRING) END AS observation_id
+        FROM lineitem""",
 }
 NEEDS = {"v_batches": ("v_objects",), "v_store_records": ("v_plan_records",), "v_store_aliases": ("v_plan_outcomes",)}
 

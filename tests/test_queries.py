@@ -5,6 +5,7 @@ import pytest
 
 import chronoweave.plans.log_queries  # noqa: F401
 import chronoweave.plans.more_queries  # noqa: F401
+import chronoweave.plans.review_queries  # noqa: F401
 import chronoweave.plans.scalar_queries  # noqa: F401
 import chronoweave.plans.store_queries  # noqa: F401
 import chronoweave.plans.tool_queries  # noqa: F401
