@@ -6,7 +6,8 @@ are sampled. No cell can weigh more than its tokens over the sampling rate, sinc
 is taken twice: every step of the raking scales a margin's cells to the margin's target under
 that bound, so what a full cell cannot take goes to the others. Targets that a margin's tokens
 cannot reach are cut to what they can, and the others raised. Cells are aggregated before any
-shuffle of documents; the fitting runs on the cells alone, as window sums.
+shuffle of documents; the fitting runs on the cells alone: on the driver while their counted
+number is within ``CELL_BOUND``, as window sums beyond it, with the same steps.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,14 +65,49 @@ def feasible(values: DataFrame, margin: str, alpha: float, rate: float) -> DataF
     return sized.select(margin, F.least(F.lit(factor) * F.col("size"), F.col("bound")).alias(f"_{margin}"))
 
 
-def rake(cells: DataFrame, temper: dict[str, float], rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
+def feasible_held(size: np.ndarray, bound: np.ndarray, total: float) -> np.ndarray:
+    """The targets of ``feasible`` for values that are at hand."""
+    factor, full = total / size.sum(), -1
+    while True:
+        over = factor * size >= bound
+        if over.sum() == full or over.all():
+            return np.minimum(factor * size, bound)
+        factor, full = (total - bound[over].sum()) / size[~over].sum(), over.sum()
+
+
+def rake_held(cells: pd.DataFrame, temper: dict[str, float], rounds: int, rate: float) -> pd.DataFrame:
+    """``rake`` of cells that are at hand."""
+    out = cells.reset_index(drop=True)
+    tokens = out["tokens"].to_numpy(np.float64)
+    bound, weight, codes, targets = tokens / rate, tokens.copy(), {}, {}
+    for m, alpha in temper.items():
+        codes[m] = pd.factorize(out[m])[0]
+        sums = np.bincount(codes[m], tokens)
+        targets[m] = feasible_held(sums**alpha, sums / rate, tokens.sum())
+        out[f"_{m}"] = targets[m][codes[m]]
+    for _ in range(rounds):
+        for m in temper:
+            order = np.lexsort((bound / weight, codes[m]))
+            code = codes[m][order]
+            before = pd.Series(bound[order]).groupby(code).cumsum().to_numpy() - bound[order]
+            onward = pd.Series(weight[order][::-1]).groupby(code[::-1]).cumsum().to_numpy()[::-1]
+            factor = np.maximum.reduceat((targets[m][code] - before) / onward, np.searchsorted(code, np.arange(len(targets[m]))))
+            weight = np.minimum(weight * factor[codes[m]], bound)
+    return out.assign(weight=weight)[[*temper, "tokens", "weight", *(f"_{m}" for m in temper)]]
+
+
+def rake(cells: DataFrame, temper: dict[str, float], rounds: int = ROUNDS, rate: float = RATE, held: int = CELL_BOUND) -> DataFrame:
     """``cells`` (the margins and ``tokens`` > 0) with ``weight`` after so many rounds, and each margin's target ``_margin``.
 
     A step scales the cells of one margin value by the one factor that meets its target when no
     cell may exceed its bound: with the cells by bound over weight, that is the largest of (target -
-    bounds before) / (weights from here on).
+    bounds before) / (weights from here on). Up to ``held`` cells are raked on the driver.
     """
     cells = written(cells, "cells")
+    known = cells.select(*temper, "tokens").where(" AND ".join(f"`{m}` IS NOT NULL" for m in temper))
+    if 0 < known.count() <= held:
+        kinds = [*(f"{m} {known.schema[m].dataType.simpleString()}" for m in temper), "tokens long", "weight double", *(f"_{m} double" for m in temper)]
+        return cells.sparkSession.createDataFrame(rake_held(known.toPandas(), temper, rounds, rate), ", ".join(kinds))
     for margin, alpha in temper.items():
         targets = feasible(cells.groupBy(margin).agg(F.sum("tokens").alias("tokens")), margin, alpha, rate)
         cells = cells.join(targets, margin)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import duckdb
@@ -54,6 +55,18 @@ def test_full_cells_pass_on_what_they_cannot_take(spark):
     assert len(errors) == 5 and all(abs(r.expected / r.target - 1) < 1e-3 for r in errors)
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.5, 0.9])
+def test_raking_on_the_driver_equals_window_sums(spark, rate):
+    rng = random.Random(int(rate * 10))
+    rows = [(f"s{a}", f"l{b}", rng.choice([1, 7, 7, 300, 20000])) for a in range(9) for b in range(7) if rng.random() < 0.7]
+    cells = spark.createDataFrame(rows, "source string, lang string, tokens long")
+    temper = {"source": 0.5, "lang": 0.0}
+    table = lambda held: {(r.source, r.lang): (r.weight, r._source, r._lang) for r in rake(cells, temper, 8, rate, held).collect()}
+    near, far = table(100), table(0)
+    assert near.keys() == far.keys() == {r[:2] for r in rows}
+    assert all(x == pytest.approx(y, rel=1e-9) for k in near for x, y in zip(near[k], far[k]))
+
+
 def test_the_query_meets_its_margins(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     raked = rake(cells_of(margins_of(docs, "text", TEMPER), TEMPER), TEMPER)
