@@ -144,13 +144,6 @@ def gapless_seq(rows: DataFrame, group: str, order: tuple[str, ...], start: int
     return rows.withColumn("seq_no", F.lit(start) + F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
 
-def chain_breaks(rows: DataFrame, group: str, order: tuple[str, ...], digest: Column) -> DataFrame:
-    """Each row's digest chained to the one before it in its group."""
-    w = Window.partitionBy(group).orderBy(*order)
-    rows = rows.withColumn("digest", digest)
-    return rows.withColumn("previous", F.lag("digest").over(w)).withColumn("gap", F.col(order[-1]) - F.lag(order[-1]).over(w))
-
-
 def receipts_outcome(proposals: DataFrame, receipts: DataFrame) -> DataFrame:
     """Idempotent commit: ``fresh``, ``replay`` (same request) or ``conflict`` (same key, other request)."""
     known = receipts.select("client_id", "idempotency_key", F.col("request_digest").alias("known"))

@@ -524,12 +524,6 @@ def w1_gapless_seq(s, d):
     return asr.gapless_seq(log(s, d), "subject", ("recorded_at", "seq")).select("seq", "subject", F.col("seq_no").cast("long").alias("seq_no"))
 
 
-@query("SELECT subject, seq, sha256(assertion_id || ':' || value) AS digest, lag(sha256(assertion_id || ':' || value)) OVER w AS previous, coalesce(seq - lag(seq) OVER w, 0) AS gap FROM v_assertions WINDOW w AS (PARTITION BY subject ORDER BY seq)", "v_assertions")
-def w3_hash_chain(s, d):
-    digest = F.sha2(F.concat("assertion_id", F.lit(":"), "value"), 256)
-    return asr.chain_breaks(log(s, d), "subject", ("seq",), digest).select("subject", "seq", "digest", "previous", F.coalesce("gap", F.lit(0)).alias("gap"))
-
-
 @query("SELECT ordinal, version, version - lag(version) OVER (PARTITION BY ordinal ORDER BY version) - 1 AS missing FROM v_objects QUALIFY missing > 0", "v_objects")
 def w5_version_gaps(s, d):
     from pyspark.sql import Window

@@ -122,26 +122,41 @@ def g5_redirect_requests(s, d):
 SQL["g5_redirect_requests"] = SQL["g5_redirect_requests"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CAST(event_id AS STRING) || ':' || event_type AS content, event_id FROM events),
-    c AS (SELECT user_id, n, content, event_id, repeat('0', 64) AS previous_hash, sha256(repeat('0', 64) || chr(10) || content) AS event_hash FROM e WHERE n = 1
-      UNION ALL SELECT e.user_id, e.n, e.content, e.event_id, c.event_hash, sha256(c.event_hash || chr(10) || e.content) FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1),
-    x AS (SELECT user_id, n, previous_hash, CASE WHEN event_id % 97 = 0 THEN content || '!' ELSE content END AS content, CASE WHEN event_id % 89 = 0 THEN sha256('forged') ELSE event_hash END AS event_hash FROM c WHERE event_id % 101 <> 0),
-    y AS (SELECT *, coalesce(lag(event_hash) OVER w, repeat('0', 64)) AS before, n - coalesce(lag(n) OVER w, 0) AS gap FROM x WINDOW w AS (PARTITION BY user_id ORDER BY n))
-    SELECT user_id, n, CASE WHEN gap <> 1 THEN 'gap' WHEN previous_hash <> before THEN 'previous-mismatch' ELSE 'hash-mismatch' END AS fault FROM y WHERE gap <> 1 OR previous_hash <> before OR sha256(previous_hash || chr(10) || content) <> event_hash""")
-def w4_chain_faults(s, d):
-    """Chains of users' events, written by the library, then damaged: contents changed, hashes forged, entries lost."""
+def chain_sql(group, key, content, table):
+    """DuckDB SQL of the faults of damaged chains: each group's rows by key, linked one by one."""
+    return f"""WITH RECURSIVE e AS (SELECT {group}, row_number() OVER (PARTITION BY {group} ORDER BY {key}) AS n, {content} AS content, {key} AS id FROM {table}),
+    c AS (SELECT {group}, n, content, id, repeat('0', 64) AS previous_hash, sha256(repeat('0', 64) || chr(10) || content) AS event_hash FROM e WHERE n = 1
+      UNION ALL SELECT e.{group}, e.n, e.content, e.id, c.event_hash, sha256(c.event_hash || chr(10) || e.content) FROM c JOIN e ON e.{group} = c.{group} AND e.n = c.n + 1),
+    x AS (SELECT {group}, n, previous_hash, CASE WHEN id % 97 = 0 THEN content || '!' ELSE content END AS content, CASE WHEN id % 89 = 0 THEN sha256('forged') ELSE event_hash END AS event_hash FROM c WHERE id % 101 <> 0),
+    y AS (SELECT *, coalesce(lag(event_hash) OVER w, repeat('0', 64)) AS before, n - coalesce(lag(n) OVER w, 0) AS gap FROM x WINDOW w AS (PARTITION BY {group} ORDER BY n))
+    SELECT {group}, n, CASE WHEN gap <> 1 THEN 'gap' WHEN previous_hash <> before THEN 'previous-mismatch' ELSE 'hash-mismatch' END AS fault FROM y WHERE gap <> 1 OR previous_hash <> before OR sha256(previous_hash || chr(10) || content) <> event_hash"""
+
+
+def damaged_chains(entries, group):
+    """Chains of (group, id, content), written by the library, then damaged: contents changed, hashes forged, entries lost."""
     import pandas as pd
 
-    def written(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("event_id")
-        rows = pd.DataFrame(chain.linked(list(group.content)), columns=["content", "previous_hash", "event_hash"])
-        return rows.assign(user_id=group.user_id.values, event_id=group.event_id.values, n=range(1, len(rows) + 1))
+    def written(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        out = pd.DataFrame(chain.linked(list(rows.content)), columns=["content", "previous_hash", "event_hash"])
+        return out.assign(id=rows.id.values, n=range(1, len(out) + 1), **{group: rows[group].values})
 
-    entries = view(s, d, "events").select("user_id", "event_id", F.concat_ws(":", "event_id", "event_type").alias("content"))
-    rows = entries.groupBy("user_id").applyInPandas(written, "user_id long, event_id long, n long, content string, previous_hash string, event_hash string")
-    at = F.col("event_id")
+    rows = entries.groupBy(group).applyInPandas(written, f"{group} long, id long, n long, content string, previous_hash string, event_hash string")
+    at = F.col("id")
     rows = rows.withColumn("content", F.when(at % 97 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).withColumn("event_hash", F.when(at % 89 == 0, F.sha2(F.lit("forged"), 256)).otherwise(F.col("event_hash")))
-    return chain.faults(rows.where(at % 101 != 0), "user_id")
+    return rows.where(at % 101 != 0)
+
+
+@query(chain_sql("o_custkey", "o_orderkey", "CAST(o_orderkey AS STRING) || ':' || o_orderstatus", "orders"))
+def w3_hash_chain(s, d):
+    entries = view(s, d, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("content"))
+    return chain.faults(damaged_chains(entries, "o_custkey"), "o_custkey")
+
+
+@query(chain_sql("user_id", "event_id", "CAST(event_id AS STRING) || ':' || event_type", "events"))
+def w4_chain_faults(s, d):
+    entries = view(s, d, "events").select("user_id", F.col("event_id").alias("id"), F.concat_ws(":", "event_id", "event_type").alias("content"))
+    return chain.faults(damaged_chains(entries, "user_id"), "user_id")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
