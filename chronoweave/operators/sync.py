@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.operators.graph import stored
 
+#: Most sets of traits made of one id.
+MAX_SETS = 200
+
 
 def committed_objects(objects: DataFrame, batches: DataFrame, after: int, upto: int) -> DataFrame:
     """Objects of committed batches in a range of generations."""
@@ -49,14 +54,57 @@ def ancestors(paths: DataFrame, path: str = "path") -> DataFrame:
 def reidentify(observed: DataFrame, known: DataFrame, minimum: int = 2) -> DataFrame:
     """Entities that share ``minimum`` traits: none mints, one carries, more are ambiguous.
 
-    Both sides are (id, trait, value) rows; the join is on trait and value.
+    Both sides are (id, trait, value) rows; known rows without an id are no entity. Two ids share ``minimum``
+    traits if they share a set of so many, so each set keeps its least and greatest entity and no pairs are made.
+    Ids with more rows than have ``MAX_SETS`` sets are paired with all others by trait and value instead.
     """
-    k = known.select(F.col("id").alias("entity"), "trait", "value").distinct()
-    shared = observed.distinct().join(k, ["trait", "value"]).groupBy("id", "entity").agg(F.count("*").alias("n")).where(F.col("n") >= minimum)
-    per = shared.groupBy("id").agg(F.count("*").alias("n"), F.min("entity").alias("entity"))
+    least = max(minimum, 1)
+    width = least
+    while comb(width + 1, least) <= MAX_SETS:
+        width += 1
     ids = observed.select("id").distinct()
-    n = F.coalesce("n", F.lit(0))
-    return ids.join(per, "id", "left").select("id", F.when(n == 0, "mint").when(n == 1, "carry").otherwise("ambiguous").alias("decision"), F.when(n == 1, F.col("entity")).alias("entity"))
+    sides = [rows.where("id IS NOT NULL AND trait IS NOT NULL AND value IS NOT NULL").select("id", "trait", "value") for rows in (observed, known)]
+    wide = [rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > width).select("id") for rows in sides]
+    if all(w.isEmpty() for w in wide):
+        found = _by_sets(*sides, least)
+    else:
+        (o, k), (few_o, few_k) = sides, [rows.join(w, "id", "left_anti") for rows, w in zip(sides, wide, strict=True)]
+        pairs = _by_pairs(o.join(wide[0], "id", "left_semi"), k, least).union(_by_pairs(few_o, k.join(wide[1], "id", "left_semi"), least))
+        found = _by_sets(few_o, few_k, least).union(pairs)
+    per = found.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    one = F.col("low") == F.col("high")
+    return ids.join(per, "id", "left").select("id", F.when(F.col("low").isNull(), "mint").when(one, "carry").otherwise("ambiguous").alias("decision"), F.when(one, F.col("low")).alias("entity"))
+
+
+def _by_sets(observed: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """(id, low, high): the least and greatest entity of each set of ``size`` traits that an id shares."""
+
+    def sets(rows: DataFrame) -> DataFrame:
+        traits = rows.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("trait", "value"))).alias("traits"))
+        return traits.select("id", F.explode(_subsets(F.col("traits"), size)).alias("key"))
+
+    held = sets(known).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    return sets(observed).join(held, "key").select("id", "low", "high")
+
+
+def _by_pairs(observed: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """(id, low, high): each entity that shares ``least`` traits with an id, by all pairs that share one."""
+    k = known.select(F.col("id").alias("entity"), "trait", "value").distinct()
+    shared = observed.distinct().join(k, ["trait", "value"]).groupBy("id", "entity").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return shared.select("id", F.col("entity").alias("low"), F.col("entity").alias("high"))
+
+
+def _subsets(items: Column, size: int) -> Column:
+    """All choices of ``size`` items in their order, null of fewer items."""
+    n = F.size(items)
+
+    def longer(picks: Column, last: Column) -> Column:
+        return F.flatten(F.transform(picks, lambda p: F.transform(F.sequence(F.element_at(p, -1) + 1, last), lambda i: F.concat(p, F.array(i)))))
+
+    picks = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array(i))
+    for k in range(2, size + 1):
+        picks = longer(picks, n - size + k)
+    return F.when(n >= size, F.transform(picks, lambda p: F.transform(p, lambda i: F.element_at(items, i))))
 
 
 def unique_titles(rows: DataFrame, group: tuple[str, ...], key: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,52 @@ def test_redirects(spark):
     assert got[200] == (999, "dangling") and got[300][1] == "ambiguous-split" and got[401] == (400, "terminal") and got[50][1] == "current"
 
 
+def most_rows(df):
+    """The most rows that an operator of the executed plan made."""
+
+    def walk(node):
+        inner = [node.executedPlan()] if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else [node.plan()] if node.getClass().getSimpleName().endswith("QueryStageExec") else []
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        made = node.metrics().get("numOutputRows")
+        return max([made.get().value() if made.isDefined() else 0, *map(walk, inner + children)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+TRAIT_ROWS = "id string, trait string, value string"
+
+
+def test_reidentify_makes_no_pairs(spark):
+    known = [(f"k{i}", t, v) for i in range(400) for t, v in (("type", "common"), ("size", "common"), ("name", f"n{i}"), ("brand", f"b{i // 2}"))]
+    observed = [(f"o{i}", t, v) for i in range(400) for t, v in (("type", "common"), ("size", "common"), ("name", f"n{i}" if i % 2 else "none"), ("brand", f"b{i // 2}" if i < 4 else "none"))]
+    df = sync.reidentify(spark.createDataFrame(observed, TRAIT_ROWS), spark.createDataFrame(known, TRAIT_ROWS), 3)
+    got = {r.id: (r.decision, r.entity) for r in df.collect()}
+    assert got["o0"] == got["o1"] == ("ambiguous", None) and got["o4"] == ("mint", None) and got["o399"] == ("carry", "k399")
+    assert len(got) == 400 and most_rows(df) <= 4 * len(observed)
+
+
+@pytest.mark.parametrize("minimum", [1, 2, 3])
+def test_reidentify_equals_all_pairs(spark, minimum):
+    """Ids of few and of many traits, repeated rows, values that are null."""
+    rng = random.Random(minimum)
+
+    def rows(side, n):
+        out = [(f"{side}{i}", rng.choice("abcd"), rng.choice([None, *"01234567"])) for i in range(n) for _ in range(rng.choice([1, 2, 3, 4, 4, 25]))]
+        return out + out[:9]
+
+    observed, known = rows("o", 50), rows("k", 30)
+    held = {}
+    for side in (observed, known):
+        for i, t, v in side:
+            held.setdefault(i, set()).update([(t, v)] if v is not None else [])
+    want = {}
+    for i in {r[0] for r in observed}:
+        hits = [k for k in {r[0] for r in known} if len(held[i] & held[k]) >= minimum]
+        want[i] = ("mint", None) if not hits else ("carry", hits[0]) if len(hits) == 1 else ("ambiguous", None)
+    got = sync.reidentify(spark.createDataFrame(observed, TRAIT_ROWS), spark.createDataFrame(known, TRAIT_ROWS), minimum)
+    assert {r.id: (r.decision, r.entity) for r in got.collect()} == want
+
+
 def test_neighbors_directions_and_page(spark):
     edges = spark.createDataFrame([(1, "a", "p", "b", "assert"), (2, "b", "p", "c", "invalidate"), (3, "c", "p", "a", "assert"), (4, "b", "q", "d", "retract"), (5, "a", "q", "c", "correct")], "seq long, src string, predicate string, dst string, lineage_action string")
     start = spark.createDataFrame([("a", "a")], "origin string, node string")
