@@ -66,14 +66,16 @@ def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 2) -> DataFra
     return nodes.where("origin <> node")
 
 
-def resolve(rows: DataFrame, ids: DataFrame, live: DataFrame) -> DataFrame:
+def resolve(rows: DataFrame, ids: DataFrame, live: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """Follows ``mapped`` redirects by pointer jumping: id, target, outcome.
 
-    Five doublings follow chains of up to 32 rows; what still moves is a cycle or too deep.
+    Doublings follow chains of up to ``hops`` rows, a power of two; what still moves is a cycle or too deep.
     """
+    if hops < 1 or hops & (hops - 1):
+        raise ValueError("hops not a power of two")
     mapped = rows.where("disposition = 'mapped'").select(F.col("old_id").alias("k"), F.col("new_id").alias("v"))
     jump = mapped
-    for _ in range(5):
+    for _ in range(hops.bit_length() - 1):
         jump = jump.alias("a").join(jump.alias("b"), F.col("a.v") == F.col("b.k"), "left").select(F.col("a.k"), F.coalesce("b.v", "a.v").alias("v"))
     at = ids.join(jump, ids["id"] == jump["k"], "left").select("id", F.coalesce("v", "id").alias("target"))
     last = rows.select(F.col("old_id").alias("target"), "disposition")

@@ -66,6 +66,16 @@ def test_redirects(spark):
     assert got[200] == (999, "dangling") and got[300][1] == "ambiguous-split" and got[401] == (400, "terminal") and got[50][1] == "current"
 
 
+def test_redirects_up_to_a_depth(spark):
+    rows = spark.createDataFrame([(k, k + 1, "mapped") for k in range(1, 18)], "old_id long, new_id long, disposition string")
+    ids, live = (spark.createDataFrame([(x,) for x in xs], "id long") for xs in ((1, 2, 17), (18,)))
+    at = lambda hops: {r.id: (r.target, r.outcome) for r in graph.resolve(rows, ids, live, hops).collect()}
+    assert at(16) == {1: (17, "cycle-or-depth"), 2: (18, "redirected"), 17: (18, "redirected")}
+    assert at(32)[1] == (18, "redirected") and at(1)[2] == (3, "cycle-or-depth")
+    with pytest.raises(ValueError, match="power of two"):
+        graph.resolve(rows, ids, live, 12)
+
+
 def most_rows(df):
     """The most rows that an operator of the executed plan made."""
 

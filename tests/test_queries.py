@@ -39,6 +39,19 @@ def test_query_equals_sql(spark, db, name):
     assert plain(map(tuple, df.select(*(f"`{c}`" for c in columns)).collect())) == plain(want)
 
 
+def test_redirect_chain_stops_at_sixteen(spark, tmp_path):
+    """Keys whose chains are longer than those of the small tables, and one that is there twice."""
+    keys = [7 * m << k for m in (1, 3) for k in range(19)] + [3, 7 << 16]
+    path = str(tmp_path / "customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT unnest({keys})::BIGINT AS c_custkey) TO '{path}' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{path}'")
+    want = con.execute(f"SELECT id, target FROM ({SQL['g8_redirect_chain']})").fetchall()
+    got = QUERIES["g8_redirect_chain"](spark, str(tmp_path)).select("id", "target").collect()
+    assert (7 << 16, 7) in want and (7 << 15, 3) in want
+    assert plain(map(tuple, got)) == plain(want)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
