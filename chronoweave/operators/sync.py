@@ -84,7 +84,8 @@ def _by_sets(observed: DataFrame, known: DataFrame, size: int) -> DataFrame:
         return traits.select("id", F.explode(_subsets(F.col("traits"), size)).alias("key"))
 
     held = sets(known).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    return sets(observed).join(held, "key").select("id", "low", "high")
+    digest = F.xxhash64("key").alias("digest")  # dealt anew by it for the join, so that Spark can split a key that many ids have
+    return sets(observed).select("*", digest).join(held.select("*", digest), ["digest", "key"]).select("id", "low", "high")
 
 
 def _by_pairs(observed: DataFrame, known: DataFrame, least: int) -> DataFrame:

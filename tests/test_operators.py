@@ -100,6 +100,27 @@ def test_reidentify_makes_no_pairs(spark):
     assert len(got) == 400 and most_rows(df) <= 4 * len(observed)
 
 
+def test_reidentify_splits_a_frequent_set(spark):
+    """One set of traits that all observed ids have is not left to one task."""
+    known = [(f"k{i}", t, f"{t}{i}") for i in range(50) for t in ("a", "b")]
+    observed = [(f"o{i}", t, f"{t}1") for i in range(3000) for t in ("a", "b")]
+    adaptive = "spark.sql.adaptive."
+    tight = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", adaptive + "autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", adaptive + "coalescePartitions.enabled": "false",
+        adaptive + "advisoryPartitionSizeInBytes": "1k", adaptive + "skewJoin.skewedPartitionThresholdInBytes": "1k", adaptive + "skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in tight}
+    try:
+        for k, v in tight.items():
+            spark.conf.set(k, v)
+        df = sync.reidentify(spark.createDataFrame(observed, TRAIT_ROWS), spark.createDataFrame(known, TRAIT_ROWS), 2)
+        assert {(r.decision, r.entity) for r in df.collect()} == {("carry", "k1")}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("minimum", [1, 2, 3])
 def test_reidentify_equals_all_pairs(spark, minimum):
     """Ids of few and of many traits, repeated rows, values that are null."""
