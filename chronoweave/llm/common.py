@@ -59,11 +59,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Smaller batches between the JVM and Python, unless the session has settings of its own.
+def bounded_batches(spark: SparkSession, rows: int = 500, size: str = "4m", group: int = 8 << 20) -> None:
+    """Smaller batches between the JVM and Python, and row groups of files, unless the session has settings of its own.
 
-    Texts are long rows: the usual 10,000 of a batch are held on both sides several times over.
+    Texts are long rows: the usual 10,000 of a batch are held on both sides several times over, and
+    a writer of Parquet holds its row group (usually 128 MB, so the whole output of a task).
     """
+    if spark.conf.get("parquet.block.size", None) is None and spark.sparkContext._jsc.hadoopConfiguration().get("parquet.block.size") is None:
+        spark.conf.set("parquet.block.size", str(group))
     for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size)):
         if spark.conf.get(key) == usual:
             spark.conf.set(key, value)
@@ -131,6 +134,19 @@ def claim(owner: str, build: Callable | None = None):
     return _CLAIMED[owner]
 
 
+def tidy(body: Callable) -> Callable:
+    """``body`` of rows that gives free memory back when its rows have ended.
+
+    A worker without a task stays in its executor for minutes, with all that it ever took.
+    """
+
+    def run(frames):
+        yield from body(frames)
+        give_back()
+
+    return run
+
+
 def give_back() -> None:
     """Return free memory of this process to the system."""
     import ctypes

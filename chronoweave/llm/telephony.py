@@ -11,13 +11,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import bounded_batches, claim, slices
+from chronoweave.llm.common import bounded_batches, claim, slices, tidy
 
 #: WAV format tags (fixed values).
 PCM, ALAW, MULAW, IMA = 0x0001, 0x0006, 0x0007, 0x0011
@@ -158,12 +159,15 @@ def feature(samples: np.ndarray, tag: int) -> str:
     return f"{tag}:{len(wide)}:{int(np.abs(wide).max(initial=0))}:{int((wide * wide).sum()) // n}:{crossings}:{zlib.crc32(samples.astype('<i2').tobytes()):08x}"
 
 
-def audio_columns(media: DataFrame, media_col: str = "media", target_rate: int = RATE_OUT) -> DataFrame:
+def audio_columns(media: DataFrame, media_col: str = "media", target_rate: int = RATE_OUT, then: Callable | None = None, then_schema: str = "") -> DataFrame:
     """``media`` plus ``pcm`` (16-bit little-endian at ``target_rate``), ``pcm_rate`` and ``feature``.
 
     Null media give null columns; a file that is not mono WAV of a known format is an error.
     The other columns are passed on, but for those named like the new ones. Long files are
     decoded whole, repeated rows each, and a table without rows gives none.
+
+    ``then`` (with the schema of what it gives) takes each frame of these columns in the worker
+    that made it: PCM is some six times the media and need not leave it to be reduced.
     """
     kept = [c for c in media.columns if c not in ("pcm", "pcm_rate", "feature")]
 
@@ -180,10 +184,10 @@ def audio_columns(media: DataFrame, media_col: str = "media", target_rate: int =
                 part["feature"] = [feature(pcm[by[k]], read_wav(blobs[k])[0]) if k in by else None for k in range(a, b)]
                 part["pcm"] = [pcm[by[k]].astype("<i2").tobytes() if k in by else None for k in range(a, b)]
                 part["pcm_rate"] = pd.array([target_rate if k in by else None for k in range(a, b)], "Int32")
-                yield part
+                yield part if then is None else then(part)
 
     schema = media.select(*kept).schema.add("feature", "string").add("pcm", "binary").add("pcm_rate", "integer")
-    return media.select(*kept).mapInPandas(body, schema)
+    return media.select(*kept).mapInPandas(tidy(body), schema if then is None else then_schema)
 
 
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +207,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b], "n_bytes": [len(x) for x in texts[a:b]], "media": media})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(body, "doc_id long, n_bytes long, media binary")
+    return rows.mapInPandas(tidy(body), "doc_id long, n_bytes long, media binary")
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,22 +216,20 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     All is computed from the columns of the operators: the payload read back from ``media``, the
     feature from ``pcm``. One row per row of ``docs``: null texts count as empty, long ones are
     taken whole, equal texts give equal values, other columns are ignored and no rows give no
-    rows. The PCM passes as a column and is not written to disk here: it is some six times the
-    text.
+    rows. The digests are taken of the frames of ``audio_columns`` where those are made, so the
+    PCM, some six times the text, is neither sent to the JVM nor written to disk here.
     """
 
-    def body(frames):
-        claim("telephony")
-        for frame in frames:
-            blobs = frame["media"].tolist()
-            payloads = [payload_of(x) for x in blobs]
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "n_bytes": frame["n_bytes"], "payload_bytes": [len(x) for x in payloads],
-                "payload_sha256": [hashlib.sha256(x).hexdigest() for x in payloads], "tail_crc32": [zlib.crc32(x[-UNIT:]) for x in payloads],
-                "media_bytes": [len(x) for x in blobs], "media_sha256": [hashlib.sha256(x).hexdigest() for x in blobs],
-                "feature": [feature(np.frombuffer(p, "<i2"), read_wav(x)[0]) for p, x in zip(frame["pcm"], blobs)],
-            })
-
-    audio = audio_columns(stored_texts(docs, id_col, text_col)).drop("feature")
+    def digests(frame: pd.DataFrame) -> pd.DataFrame:
+        blobs = frame["media"].tolist()
+        payloads = [payload_of(x) for x in blobs]
+        return pd.DataFrame({
+            "doc_id": frame["doc_id"], "n_bytes": frame["n_bytes"], "payload_bytes": [len(x) for x in payloads],
+            "payload_sha256": [hashlib.sha256(x).hexdigest() for x in payloads], "tail_crc32": [zlib.crc32(x[-UNIT:]) for x in payloads],
+            "media_bytes": [len(x) for x in blobs], "media_sha256": [hashlib.sha256(x).hexdigest() for x in blobs],
+            "feature": [feature(np.frombuffer(p, "<i2"), read_wav(x)[0]) for p, x in zip(frame["pcm"], blobs)],
+        })
+
     bounded_batches(docs.sparkSession)
-    return audio.mapInPandas(body, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return audio_columns(stored_texts(docs, id_col, text_col), then=digests, then_schema=schema)

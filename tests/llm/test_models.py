@@ -297,6 +297,32 @@ def test_round_trip_and_odd_rows(spark, odd, none):
     assert out[1].pcm is None and out[1].feature is None and out[2].extra == "y" and out[2].pcm_rate == 16000
 
 
+def test_pcm_stays_in_the_worker(spark, odd):
+    """Two Python steps, and no PCM, some six times the text, between them and the JVM."""
+    plan = tel.media_digests(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and "media#" in plan and "pcm#" not in plan
+
+
+def test_writers_and_workers_hold_little(spark):
+    from chronoweave.llm import common
+
+    own, plain = spark.newSession(), spark.newSession()
+    own.conf.set("parquet.block.size", "1000000")
+    common.bounded_batches(own)
+    common.bounded_batches(plain)
+    assert own.conf.get("parquet.block.size") == "1000000" and int(plain.conf.get("parquet.block.size")) == 8 << 20
+    assert plain.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "500"
+
+
+def test_tidy_gives_back_after_the_last_row(monkeypatch):
+    from chronoweave.llm import common
+
+    said = []
+    monkeypatch.setattr(common, "give_back", lambda: said.append("back"))
+    assert [x for x in common.tidy(lambda rows: (said.append(x) or x for x in rows))(iter([1, 2]))] == [1, 2]
+    assert said == [1, 2, "back"]
+
+
 def test_resample_and_pcm():
     x = np.array([0, 100, -100, 50], np.int16)
     assert tel.resample(x, 8000).tolist() == [0, 50, 100, 0, -100, -25, 50, 50]
