@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import bounded_batches, claim, remainder, slices
+from chronoweave.llm.common import bounded_batches, claim, remainder, slices, tidy
 
 BUCKET_BITS = 15
 SMOOTHING = 0.5
@@ -59,6 +59,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, modulus: i
     number, n_buckets = {x: k for k, x in enumerate(langs)}, 1 << BUCKET_BITS
 
     def count(frames):
+        claim("language")
         total = np.zeros(len(langs) * n_buckets, np.int64)
         for frame in frames:
             lang = frame["lang"].map(number).to_numpy()
@@ -73,7 +74,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, modulus: i
     counts = np.zeros(max(1, len(langs)) * n_buckets)
     if langs:
         # at most languages x buckets rows
-        got = rows.mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        got = rows.mapInPandas(tidy(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         counts[got["cell"]] = got["n"]
     counts = counts.reshape(-1, n_buckets).T + SMOOTHING
     return langs, np.log(counts / counts.sum(0)).astype(np.float32)
@@ -182,4 +183,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     out = (remainder(F.col(id_col), modulus) == held_out).alias("held_out")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out, *kept, *([] if text in kept else [F.col(text_col).alias(text)]))
     schema = T.StructType([x for x in rows.schema if x.name != "_text"]).add("lang_pred", "string").add("score", "double").add("mixture", "string").add("certainty", "double")
-    return rows.mapInArrow(predict, schema).select("doc_id", *new, *kept)
+    return rows.mapInArrow(tidy(predict), schema).select("doc_id", *new, *kept)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import bounded_batches, claim, mix64, slices, small, stream64, whole_groups, words_of, written
+from chronoweave.llm.common import bounded_batches, claim, mix64, slices, small, stream64, tidy, whole_groups, words_of, written
 from chronoweave.llm.components import components, extended
 
 PERCENT = 80
@@ -229,7 +229,7 @@ def class_components(rows: DataFrame, classes: DataFrame, width: int) -> DataFra
     sig = classes.select("rep", "sig")
     pairs = buckets.where("rep <> hub").select("rep", "hub", "hub_degree").distinct()
     both = pairs.join(sig, "rep").join(sig.toDF("hub", "hub_sig"), "hub").select("rep", "hub", "hub_degree", "sig", "hub_sig")
-    star = written(both.mapInPandas(agreement, "rep long, hub long, hub_degree long"), "star")
+    star = written(both.mapInPandas(tidy(agreement), "rep long, hub long, hub_degree long"), "star")
 
     def texts_of(reps: DataFrame) -> DataFrame:
         need = written(classes.join(small(written(reps.distinct(), "needed"), ID_BOUND), "rep", "left_semi").select("rep", F.col("low").alias("doc_id"), "tag"), "needed")
@@ -239,7 +239,7 @@ def class_components(rows: DataFrame, classes: DataFrame, width: int) -> DataFra
 
     def links_of(some: DataFrame) -> DataFrame:
         beside = some.join(texts, "rep").join(texts.toDF("hub", "hub_text"), "hub").select("rep", "hub", "text", "hub_text")
-        return written(beside.mapInPandas(confirm(width), "rep long, hub long").toDF("a", "b"), "links")
+        return written(beside.mapInPandas(tidy(confirm(width)), "rep long, hub long").toDF("a", "b"), "links")
 
     best = star.groupBy("rep").agg(F.max(F.struct("hub_degree", (-F.col("hub")).alias("minus"))).alias("m")).select("rep", (-F.col("m.minus")).alias("hub"))
     best = written(best, "best")
@@ -264,7 +264,7 @@ def class_components(rows: DataFrame, classes: DataFrame, width: int) -> DataFra
     v = full.select("hub", "rep", "comp", "sig", "text", F.lit("V").alias("side"), mine("nv").alias("bv"), all_of("nr").alias("br"))
     r = full.where("comp <> main").select("hub", "rep", "comp", "sig", "text", F.lit("R").alias("side"), all_of("nv").alias("bv"), mine("nr").alias("br"))
     blocks = v.union(r).repartition("hub", "bv", "br").sortWithinPartitions("hub", "bv", "br", "side", "rep")
-    return extended(label, blocks.mapInPandas(residual(width), "a long, b long"))
+    return extended(label, blocks.mapInPandas(tidy(residual(width)), "a long, b long"))
 
 
 def near_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -272,7 +272,7 @@ def near_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     bounded_batches(docs.sparkSession)
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     rows = every.where("doc_id IS NOT NULL")
-    feats = written(rows.mapInPandas(features(width), "doc_id long, tag long, n long, d1 long, d2 long, sig binary, half_a array<long>, half_b array<long>"), "features")
+    feats = written(rows.mapInPandas(tidy(features(width)), "doc_id long, tag long, n long, d1 long, d2 long, sig binary, half_a array<long>, half_b array<long>"), "features")
     first = [F.first(c).alias(c) for c in ("sig", "half_a", "half_b")]
     classes = feats.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tag")).alias("least"), F.count("*").alias("rows"), *first)
     classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", F.col("least.doc_id").alias("low"), F.col("least.tag").alias("tag"), "rows", "sig", "half_a", "half_b"), "classes")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.bpe import encoder
-from chronoweave.llm.common import bounded_batches, slices, written
+from chronoweave.llm.common import bounded_batches, claim, slices, tidy, written
 from chronoweave.llm.tokens import encode_texts
 
 K1, B = 1.2, 0.75
@@ -115,7 +115,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
                 yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b], "ids": [np.concatenate((ids[x:y], stop)).tobytes() for x, y in zip(at, at[1:])]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(encode, "doc_id long, ids binary")
+    return rows.mapInPandas(tidy(encode), "doc_id long, ids binary")
 
 
 def unpack(blobs: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     tokens = written(encoded(docs, tokenizer, id_col, text_col, end_id), "packing-ids")
 
     def frequencies(frames):
+        claim("packing")  # the encoder of the step before goes
         total, n_docs, n_tokens = np.zeros(n_ids, np.int64), 0, 0
         for frame in frames:
             blobs = frame["ids"].tolist()
@@ -149,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         yield pd.DataFrame({"term": np.concatenate((seen, [-1, -2])), "n": np.concatenate((total[seen], [n_docs, n_tokens]))})
 
     # at most one row per vocabulary id: a proven bound
-    sums = {r.term: r.n for r in tokens.select("ids").mapInPandas(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    sums = {r.term: r.n for r in tokens.select("ids").mapInPandas(tidy(frequencies), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n_docs, n_tokens = sums.pop(-1, 0), sums.pop(-2, 0)
     df = np.zeros(n_ids, np.float32)
     df[list(sums)] = list(sums.values())
@@ -157,6 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     mean_length = max(1.0, n_tokens / max(1, n_docs))
 
     def route(frames):
+        claim("packing")
         for frame in frames:
             blobs = frame["ids"].tolist()
             for a, b in slices(np.fromiter(map(len, blobs), np.int64, len(blobs)), 1 << 22):
@@ -169,6 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 yield pd.DataFrame({"k1": keys[:, 0], "k2": keys[:, 1], "doc_id": frame["doc_id"].iloc[a:b].to_numpy(), "ids": blobs[a:b]})
 
     def fill(frames):
+        claim("packing")
         part, shard, rows, ids_of, size = TaskContext.get().partitionId(), 0, [], [], 0
         for frame in frames:
             for doc_id, blob in zip(frame["doc_id"].tolist(), frame["ids"].tolist()):
@@ -192,6 +195,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         return pd.DataFrame({"doc_id": np.array(doc_ids)[pieces[:, 0]], "start": pieces[:, 1], "length": pieces[:, 2], "ids_crc32": crc, "doc_tokens": counts[pieces[:, 0]], "sequence_id": (part << 40) + (shard << 24) + pieces[:, 3], "offset": pieces[:, 4]})
 
     parts = max(1, -(-n_tokens // (2 * shard_tokens)))
-    routed = tokens.mapInPandas(route, "k1 int, k2 int, doc_id long, ids binary")
+    routed = tokens.mapInPandas(tidy(route), "k1 int, k2 int, doc_id long, ids binary")
     # the table is in the shared folder and the sort is total up to equal rows: a rerun gives the same shards
-    return routed.repartitionByRange(parts, "k1", "k2", "doc_id").sortWithinPartitions("k1", "k2", "doc_id", "ids").mapInPandas(fill, PIECES)
+    return routed.repartitionByRange(parts, "k1", "k2", "doc_id").sortWithinPartitions("k1", "k2", "doc_id", "ids").mapInPandas(tidy(fill), PIECES)

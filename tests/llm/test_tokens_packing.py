@@ -119,3 +119,20 @@ def test_neighbours_fill_by_rank():
     pieces = pack_shard(lengths, lambda seed: np.array([0.0, 1.0, 3.0, 2.0]), 16)
     assert pieces[:2] == [(0, 0, 10, 0, 0), (2, 0, 6, 0, 10)]  # the best neighbour fills the seed's window
     assert sorted((d, n) for d, _, n, _, _ in pieces) == [(0, 10), (1, 6), (2, 6), (3, 6)]
+
+
+def test_packing_steps_do_not_hold_the_encoder(spark, odd):
+    """Shards are built by workers that gave the encoder of the step before back."""
+    import pandas as pd
+
+    from chronoweave.llm.packing import pack
+    from chronoweave.llm.queries import bpe_path
+
+    def held(frames):
+        from chronoweave.llm.common import _CLAIMED
+
+        for _ in frames:
+            yield pd.DataFrame({"name": [*_CLAIMED, "none"]})
+
+    assert pack(odd, bpe_path()).count() >= odd.count()
+    assert "packing" in {r.name for r in spark.range(0, 64, 1, 16).mapInPandas(held, "name string").collect()}
