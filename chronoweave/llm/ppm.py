@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import HashIndex, ascii_lower, bounded_batches, claim, mix64, remainder, slices, words_of, written
+from chronoweave.llm.common import HashIndex, ascii_lower, bounded_batches, claim, mix64, remainder, slices, tidy, words_of, written
 
 ORDER = 5
 HEAD_WORDS = 100_000
@@ -316,7 +316,7 @@ def fallback_values(counts: DataFrame, unseen: DataFrame, order: int = ORDER) ->
                     child = np.where(done, child, node)
             yield pd.DataFrame({"key": frame["key"], "value": np.where(done, value, value + last)})
 
-    return out.mapInPandas(body, "key long, value double")
+    return out.mapInPandas(tidy(body), "key long, value double")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, head_words: int = HEAD_WORDS, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -332,7 +332,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(spark)
     out = remainder(F.col(id_col), modulus) == held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    counts = rows.where("NOT held_out").select("text").mapInPandas(count_corpus, "kind byte, key long, n long")
+    counts = rows.where("NOT held_out").select("text").mapInPandas(tidy(count_corpus), "kind byte, key long, n long")
     counts = written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     sums = {r.kind: r for r in counts.groupBy("kind").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()}
     n_train = sums[2].n if 2 in sums else 0
@@ -369,7 +369,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 row += b - a
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, gain double, score double, rare array<long>, other array<long>"
-    base = written(rows.mapInPandas(score, schema), "lm-scores")
+    base = written(rows.mapInPandas(tidy(score), schema), "lm-scores")
     rare = base.select("row", F.explode("rare").alias("key")).join(counts.where("kind = 0").select("key", "n"), "key")
     rare = rare.groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 1)).alias("g"))
     other = base.select("row", F.explode("other").alias("key"))
